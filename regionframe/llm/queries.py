@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,5 +33,57 @@ SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, m.component_id
 FROM s JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) m ON s.doc_id = m.a
 """
 
-QUERIES = {"op4_ngram_join": op4_ngram_join}
-ORACLES = {"op4_ngram_join": OP4_SQL}
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regionframe.llm import toxicity
+    from regionframe.llm.langid import fold
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    learn = docs.filter(fold(F.col("doc_id"), 3) != 1).join(labels.select("doc_id", "toxic"), "doc_id")
+    scored = toxicity.score(docs, toxicity.fit(learn))
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regionframe.llm.mtree import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5, scale=256)
+
+
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x)
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regionframe.llm import langid
+
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(langid.fold(F.col("doc_id"), 5) != 0))
+    out = langid.predict(docs, model)
+    return out.select("doc_id", F.coalesce(langid.fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "langs", "shares")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regionframe.llm import quality
+    from regionframe.llm.store import written
+
+    stats = written(quality.statistics(_table(spark, sf_dir, "documents")), "stats")
+    rules = quality.fit(stats, _table(spark, sf_dir, "labels"))
+    return quality.judged(stats, rules).select("doc_id", *quality.COUNTS, "base_failed", "kept", "rule")
+
+
+QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op4_ngram_join": op4_ngram_join,
+    "op7_top_k": op7_top_k,
+    "op8_language": op8_language,
+    "op9_quality": op9_quality,
+}
+ORACLES = {"op4_ngram_join": OP4_SQL, "op7_top_k": OP7_SQL}
