@@ -15,7 +15,8 @@ Steps, each linear in its input:
 3. prefix shingles that no other class has are dropped.  Their number bounds
    the intersections a document can still reach, and so its partners' sizes;
 4. hot groups collapse first: each shared shingle names one pivot, the most
-   central document that has it; verified links to pivots form components;
+   central document that has it; verified links to pivots form components
+   (parities of 256 hash classes bound the difference of two sets beforehand);
 5. the exact join runs between components only: one posting for each shingle
    and component, so that a family of near copies never meets itself.  Component
    pairs that can still hold a link are opened and their members counted,
@@ -51,7 +52,7 @@ LEVELS = 8
 VERIFY_COST = 60.0
 
 _SEEN = "doc_id long, n long, d1 long, d2 long, block int, counts binary"
-_PREFIX = "doc_id long, n long, d1 long, d2 long, toks array<long>"
+_PREFIX = "doc_id long, n long, d1 long, d2 long, toks array<long>, b0 long, b1 long, b2 long, b3 long"
 _SETS = "doc_id long, toks array<long>"
 
 
@@ -85,7 +86,7 @@ def _batch(part, schema):
 
 _I = pa.int64()
 _SEEN_A = pa.schema([("doc_id", _I), ("n", _I), ("d1", _I), ("d2", _I), ("block", pa.int32()), ("counts", pa.binary())])
-_PREFIX_A = pa.schema([("doc_id", _I), ("n", _I), ("d1", _I), ("d2", _I), ("toks", pa.list_(_I))])
+_PREFIX_A = pa.schema([("doc_id", _I), ("n", _I), ("d1", _I), ("d2", _I), ("toks", pa.list_(_I)), ("b0", _I), ("b1", _I), ("b2", _I), ("b3", _I)])
 _SETS_A = pa.schema([("doc_id", _I), ("toks", pa.list_(_I))])
 
 
@@ -133,7 +134,8 @@ def _prefixes(width: int, num: int, den: int, sketch):
                 rank = level[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 # rarest first, then by hash; the set is sorted, so a stable sort is enough
                 first = np.argsort(rank, kind="stable")[:keep]
-                yield (doc, n, *_digest(h), h[first].view(np.int64).tolist())
+                odd = np.bincount((h & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1
+                yield (doc, n, *_digest(h), h[first].view(np.int64).tolist(), *np.packbits(odd).view(np.int64).tolist())
 
         yield from _batched(rows(), _PREFIX_A)
 
@@ -174,17 +176,17 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     found = src.mapInArrow(_prefixes(width, num, den, held), _PREFIX)
     reps = classes.select(F.col("rep").alias("doc_id"), "d1", "d2").filter("doc_id IS NOT NULL")
-    prefix = written(found.join(reps, ["doc_id", "d1", "d2"], "left_semi").select("doc_id", "n", "toks").dropDuplicates(["doc_id", "n"]), "prefix")
+    prefix = written(found.join(reps, ["doc_id", "d1", "d2"], "left_semi").drop("d1", "d2").dropDuplicates(["doc_id", "n"]), "prefix")
 
     posted = prefix.select("doc_id", "n", F.posexplode("toks").alias("i", "tok"))
     shared = posted.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     items = posted.join(shared, "tok").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("i", "tok", "df"))).alias("items"))
-    posts = written(_chosen(items, num, den), "posts")
+    posts = written(_chosen(items, num, den).join(prefix.select("doc_id", "n", "b0", "b1", "b2", "b3"), ["doc_id", "n"]), "posts")
     out = rows.join(classes.select("d1", "d2", "rep"), ["d1", "d2"], "left")
 
-    stars = components(_verified(_pivot_pairs(posts), src, width, num, den))
+    stars = components(_verified(_pivot_pairs(posts, num, den), src, width, num, den))
     posts = written(posts.join(stars.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")), "posts")
-    across = _verified(_across(posts), src, width, num, den)
+    across = _verified(_across(posts, num, den), src, width, num, den)
     links = across.join(stars.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(stars.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     merged = components(links)
     found = stars.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "full")
@@ -224,8 +226,14 @@ _SIZES = "CASE WHEN s.n < g.n THEN s.n BETWEEN g.lo AND g.hi WHEN s.n > g.n THEN
 _TIERS = "CASE WHEN s.n <= g.n THEN s.ti <= least(s.l, g.l) AND g.tp <= least(s.l, g.l) ELSE g.ti <= least(s.l, g.l) AND s.tp <= least(s.l, g.l) END"
 
 
-def _pair(x: str, y: str) -> str:
-    return f"({_SIZES}) AND ({_TIERS})".replace("s.", f"{x}.").replace("g.", f"{y}.")
+#: Sets differ at least in the bits in which the parities of their hashed shingles differ.
+_PARITY = " + ".join(f"bit_count(s.b{k} ^ g.b{k})" for k in range(4))
+
+
+def _pair(x: str, y: str, num: int, den: int) -> str:
+    """SQL: what a linked pair of documents satisfies wherever they share a prefix shingle."""
+    differ = f"({_PARITY}) <= s.n + g.n - 2 * (({num} * (s.n + g.n) + {num + den - 1}) DIV {num + den})"
+    return f"({_SIZES}) AND ({_TIERS}) AND ({differ})".replace("s.", f"{x}.").replace("g.", f"{y}.")
 
 
 def _counted(met: DataFrame) -> DataFrame:
@@ -234,26 +242,28 @@ def _counted(met: DataFrame) -> DataFrame:
     return pairs.filter("k >= need")
 
 
-_ONE = ("doc_id", "n", "lo", "hi", "l", "ti", "tp")
+_ONE = ("doc_id", "n", "lo", "hi", "l", "ti", "tp", "b0", "b1", "b2", "b3")
 
 
-def _pivot_pairs(posts: DataFrame) -> DataFrame:
+def _pivot_pairs(posts: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): each document with the two pivots it shares most prefix shingles with; a < b.
 
     A shingle's pivot is the document, of those that have it, with the fewest shingles of its own.
     """
     pivots = posts.groupBy("tok").agg(F.min(F.struct("u", *_ONE)).alias("y"))
-    met = posts.select("tok", F.struct(*_ONE).alias("x")).join(pivots, "tok").filter("x.doc_id != y.doc_id").filter(_pair("x", "y"))
+    met = posts.select("tok", F.struct(*_ONE).alias("x")).join(pivots, "tok").filter("x.doc_id != y.doc_id").filter(_pair("x", "y", num, den))
     best = _counted(met).groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", "y")), asc=False), 1, 2).alias("best"))
     return best.select("x", F.explode("best.y").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _across(posts: DataFrame) -> DataFrame:
+def _across(posts: DataFrame, num: int, den: int) -> DataFrame:
     """All pairs (a, b) of documents in different components that pass every filter."""
-    by = posts.groupBy("tok", "comp").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    side = lambda s: by.select("tok", *[F.col(c).alias(f"{s}_{c}") for c in ("comp", "n0", "n1", "lo", "hi")])
-    met = side("x").join(side("y"), "tok").filter("x_comp < y_comp AND ((x_n0 <= y_hi AND x_n1 >= y_lo) OR (y_n0 <= x_hi AND y_n1 >= x_lo))")
+    # m stands for a component's one member; what is true of members decides where there are more
+    by = posts.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*_ONE)).alias("m"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    side = lambda s: by.select("tok", *[F.col(c).alias(f"{s}_{c}") for c in ("comp", "c", "m", "n0", "n1", "lo", "hi")])
+    alone = f"CASE WHEN x_c = 1 AND y_c = 1 THEN {_pair('x_m', 'y_m', num, den)} ELSE (x_n0 <= y_hi AND x_n1 >= y_lo) OR (y_n0 <= x_hi AND y_n1 >= x_lo) END"
+    met = side("x").join(side("y"), "tok").filter(f"x_comp < y_comp AND {alone}")
     one = lambda s: posts.select("tok", F.col("comp").alias(f"{s}_comp"), F.struct(*_ONE).alias(s))
-    opened = met.join(one("x"), ["tok", "x_comp"]).filter("(x.n <= y_hi AND x.n >= y_lo) OR (y_n0 <= x.hi AND y_n1 >= x.lo)")
-    opened = opened.select("tok", "y_comp", "x").join(one("y"), ["tok", "y_comp"]).filter(_pair("x", "y"))
+    half = f"CASE WHEN y_c = 1 THEN {_pair('x', 'y_m', num, den)} ELSE (x.n <= y_hi AND x.n >= y_lo) OR (y_n0 <= x.hi AND y_n1 >= x.lo) END"
+    opened = met.join(one("x"), ["tok", "x_comp"]).filter(half).select("tok", "y_comp", "x").join(one("y"), ["tok", "y_comp"]).filter(_pair("x", "y", num, den))
     return _counted(opened).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
