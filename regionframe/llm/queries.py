@@ -33,6 +33,18 @@ SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, m.component_id
 FROM s JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) m ON s.doc_id = m.a
 """
 
+#: Pseudonyms depend on it; a deployment passes its own secret to pii.pseudonymise.
+PII_KEY = "documents-v1"
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regionframe.llm import pii
+
+    out = pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, found_col="found")
+    counts = [F.expr(f"CAST(size(filter(found, m -> m.w IS NOT NULL AND m.k = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in pii.KINDS]
+    return out.select("doc_id", "text", *[F.coalesce(c, F.lit(0)).alias(f"n_{k}") for k, c in zip(pii.KINDS, counts, strict=True)])
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regionframe.llm import toxicity
     from regionframe.llm.langid import fold
@@ -80,6 +92,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_toxicity": op2_toxicity,
     "op4_ngram_join": op4_ngram_join,
     "op7_top_k": op7_top_k,
