@@ -9,25 +9,28 @@ dropped or replaced.  Words are letters only: signs inside a word are taken out
 letters are joined (``i d i o t``), and long words are read in windows.
 
 Landmarks are words of the labelled sentences: those most associated with
-either label, and frequent others.  A sentence's features are, for each
-landmark, the best kernel value of its words, whitened by the landmarks' own
-kernel matrix (Nyström).  A linear squared-hinge machine learns on sentences;
-of a toxic text it takes the sentence that looks worst, chosen anew each round
-(labels are given for whole texts).  A text's margin is that of its worst
-sentence, turned into a probability by a logistic fit.  Kernel values under
-``FLOOR`` count as 0, so most sentences have the margin of an empty one.
+either label, and frequent others.  A word's features are its kernel values to
+the landmarks, whitened by the landmarks' own kernel matrix (Nyström).
+A linear squared-hinge machine learns from witnesses: of the toxic texts all
+words that stand out by their counts, or look worse than what nearly all clean
+texts hold, chosen anew each round, against the worst words of the clean texts.
+Witnesses with a letter put in count as toxic too.  A logistic fit turns
+the three highest margins of a text's different words, and its length, into a
+probability.  A word that shares no
+subsequence with a landmark has the margin of an empty text.
 
 Learning takes at most ``max_rows`` labelled texts of each label, the smallest
 by a hash of the id, of at most ``max_chars`` letters each.  Scoring reads
 whole texts.
 
-Cases: a null or empty text scores as an empty sentence does.  With no labelled
+Cases: a null or empty text scores as one without any known word.  With no labelled
 text of one of the labels, all scores are the share of toxic labels (0 with none).
 Repeated rows get equal scores; a null id is scored and never learned from.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import unicodedata
@@ -42,18 +45,17 @@ from pyspark.sql import functions as F
 from regionframe.llm.arrow import slices
 from regionframe.llm.text import Memo
 
-SPAN, DECAY, FLOOR = 6, 0.6, 0.2
+SPAN, DECAY = 6, 0.75
 #: Letters of a word read at once, and the step between windows of longer words.
 WINDOW, STEP = 14, 5
-#: Occurrences of landmark subsequences under which a word is not compared at all.
-LEAST_HITS = 3
+#: Texts times log odds by which a word has to stand out to be a first witness.
+STANDS_OUT, LOG_ODDS = 10.0, 2.5
 _ALPHABET = 64
 _OFFSETS = [(i, j, DECAY ** (j - 2)) for j in range(2, SPAN) for i in range(1, j)]
 _PARTS = re.compile(r"[^\W_]+")
 #: Digits and signs that stand for letters (fixed values).
 _SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 _INNER = re.compile(r"(?<=[^\W\d_])[013457@$!](?=[^\W\d_])")
-_END = re.compile(r"[.!?][^\w]*$")
 
 
 def _letters(word: str) -> str:
@@ -62,6 +64,8 @@ def _letters(word: str) -> str:
 
 def units(token: str) -> list[str]:
     """The words that a white-space token is read as."""
+    if token.isascii() and token.isalpha() and len(token) <= WINDOW:
+        return [token.lower()]
     token = _INNER.sub(lambda m: m[0].translate(_SIGNS), token)
     parts = [p for p in (_letters(x) for x in _PARTS.findall(token)) if p]
     if len(parts) > 1:
@@ -93,54 +97,54 @@ def _features(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(cols, 1), np.array(weights, np.float32)
 
 
+def _norms(f: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Lengths of the feature maps; a subsequence that occurs twice in a word adds up before it is squared."""
+    out = np.where(f >= 0, w * w, 0).sum(1)
+    order = np.sort(f, 1)
+    for i in np.flatnonzero(((order[:, 1:] == order[:, :-1]) & (order[:, 1:] >= 0)).any(1)):
+        on = f[i] >= 0
+        _, inverse = np.unique(f[i][on], return_inverse=True)
+        out[i] = (np.bincount(inverse, w[on]) ** 2).sum()
+    return np.sqrt(np.maximum(out, 1e-9))
+
+
 class Landmarks:
     """Kernel values against fixed words, by an inverted table of their subsequences."""
 
+    CHUNK = 4000
+
     def __init__(self, words: list[str]):
         self.words = words
         f, w = _features(_codes(words))
-        table: dict[int, np.ndarray] = {}
-        for k in range(len(words)):
-            own: dict[int, float] = {}
-            for code, weight in zip(f[k], w, strict=True):
-                if code >= 0:
-                    own[int(code)] = own.get(int(code), 0.0) + float(weight)
-            norm = math.sqrt(sum(v * v for v in own.values())) or 1.0
-            for code, v in own.items():
-                table.setdefault(code, np.zeros(len(words), np.float32))[k] = v / norm
+        unit = w / _norms(f, w)[:, None]
+        codes = np.unique(f[f >= 0])
         self.slot = np.zeros(_ALPHABET**3 + 1, np.int32)  # the last one is for -1
-        self.rows = np.zeros((len(table) + 1, len(words)), np.float32)
-        for r, (code, row) in enumerate(sorted(table.items()), 1):
-            self.slot[code], self.rows[r] = r, row
+        self.slot[codes] = np.arange(1, len(codes) + 1)
+        self.rows = np.zeros((len(codes) + 1, len(words)), np.float32)
+        np.add.at(self.rows, (self.slot[f], np.arange(len(words))[:, None]), unit)
+        self.rows[0] = 0
+
+    def _each(self, words: list[str]):
+        for k in range(0, len(words), self.CHUNK):
+            f, w = _features(_codes(words[k : k + self.CHUNK]))
+            yield self.slot[f], w / _norms(f, w)[:, None]
 
     def kernel(self, words: list[str]) -> np.ndarray:
         """words x landmarks."""
-        out = np.zeros((len(words), len(self.words)), np.float32)
-        for k in range(0, len(words), 20_000):
-            f, w = _features(_codes(words[k : k + 20_000]))
-            slot = self.slot[f]
-            near = np.flatnonzero((slot > 0).sum(1) >= LEAST_HITS)
-            for i in near:
-                code = f[i][f[i] >= 0]
-                own, inverse = np.unique(code, return_inverse=True)
-                v = np.bincount(inverse, w[f[i] >= 0])
-                out[k + i] = v @ self.rows[self.slot[own]] / math.sqrt(float(v @ v))
-        out[out < FLOOR] = 0
-        return out
-
-
-def sentences(text: str | None) -> list[list[str]]:
-    """White-space tokens of each sentence; sentences end at . ! ? or a line's end."""
-    out: list[list[str]] = []
-    for line in (text or "").split("\n"):
-        now: list[str] = []
-        for t in line.split():
-            now.append(t)
-            if _END.search(t):
-                out.append(now)
-                now = []
-        out.append(now)
-    return [s for s in out if s]
+        out = [np.zeros((0, len(self.words)), np.float32)]
+        for slot, unit in self._each(words):
+            part = np.zeros((len(slot), len(self.words)), np.float32)
+            at, col = np.nonzero(slot)
+            if len(at):
+                starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                part[at[starts]] = np.add.reduceat(self.rows[slot[at, col]] * unit[at, col, None], starts)
+            out.append(part)
+        return np.concatenate(out)
+
+    def linear(self, words: list[str], weights: np.ndarray) -> np.ndarray:
+        """kernel(words) @ weights, without the matrix."""
+        table = (self.rows @ weights).astype(np.float32)
+        return np.concatenate([np.zeros(0, np.float32), *((table[slot] * unit).sum(1) for slot, unit in self._each(words))])
 
 
 def spelled(tokens: list[str]) -> list[str]:
@@ -163,72 +167,62 @@ class ToxicityModel:
     whiten: np.ndarray
     weight: np.ndarray
     bias: float
-    scale: float
-    shift: float
+    #: weights of evidence()'s numbers and a shift, of the logistic fit
+    fit: np.ndarray
 
     def __post_init__(self):
         self.linear = self.whiten @ self.weight if len(self.words) else np.zeros(0)
 
-    def probability(self, margin):
-        return 1 / (1 + np.exp(-np.clip(self.scale * margin + self.shift, -40, 40)))
+    def probability(self, evidence: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(np.c_[evidence, np.ones(len(evidence))] @ self.fit, -40, 40)))
+
+
+def evidence(margins, bias: float, words: int) -> list[float]:
+    """Of a text: the three highest margins of its different words, and its length."""
+    top = sorted(margins, reverse=True)[:3] if len(margins) < 8 else heapq.nlargest(3, margins)
+    return [max(x, bias) for x in top] + [bias] * (3 - len(top)) + [math.log1p(words)]
 
 
 class Scorer:
-    """Scores texts; keeps the kernel values of the tokens it has met, within bounds."""
+    """Scores texts; keeps the margins of the tokens it has met, within bounds."""
+
+    LIMIT = 400_000
 
     def __init__(self, model: ToxicityModel):
         self.model = model
         self.marks = Landmarks(model.words) if model.words else None
-        self.rows: list[np.ndarray] = []
-        self.known: dict[str, int] = {}
+        self.known: dict[str, float] = {}
 
     def _learn(self, tokens: set[str]) -> None:
-        if len(self.known) > 400_000:
-            self.known.clear()
-            self.rows = []
         tokens = sorted(tokens)
         parts = [units(t) for t in tokens]
-        k = self.marks.kernel([w for p in parts for w in p])
+        margin = self._words([w for p in parts for w in p])
         at = 0
         for t, p in zip(tokens, parts, strict=True):
-            best = k[at : at + len(p)].max(0) if p else None
+            self.known[t] = max(margin[at : at + len(p)], default=self.model.bias)
             at += len(p)
-            if best is None or not best.any():
-                self.known[t] = -1
-            else:
-                self.known[t] = len(self.rows)
-                self.rows.append(best)
-
-    def margins(self, texts: list[str | None]) -> np.ndarray:
-        m = self.model
-        out = np.full(len(texts), m.bias)
-        if self.marks is None:
-            return out
+
+    def _words(self, words: list[str]) -> list[float]:
+        return (self.marks.linear(words, self.model.linear) + self.model.bias).tolist() if words else []
+
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        """The probability of each text."""
+        out = []
         split = [(t or "").split() for t in texts]
-        new = {x for s in split for x in s} - self.known.keys()
-        if len(self.known) + len(new) > 400_000:
-            new = {x for s in split for x in s}
-            self.known.clear()
-            self.rows = []
-        self._learn(new)
-        for k, (text, tokens) in enumerate(zip(texts, split, strict=True)):
-            ids = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
-            singles = _RUN.search(text) if text else None
-            if singles is None and not (ids >= 0).any():
-                continue
-            worst = m.bias if len(tokens) == 0 else -np.inf
-            quiet = False
-            for s in sentences(text):
-                v = [self.rows[i] for i in map(self.known.__getitem__, s) if i >= 0]
-                extra = spelled(s) if singles is not None else []
-                if extra:
-                    v += list(self.marks.kernel(extra))
-                if not v:
-                    quiet = True
-                    continue
-                worst = max(worst, float(np.max(v, 0) @ m.linear) + m.bias)
-            out[k] = max(worst, m.bias) if quiet else (worst if worst > -np.inf else m.bias)
-        return out
+        if self.marks is not None:
+            new = {x for s in split for x in s} - self.known.keys()
+            if len(self.known) + len(new) > self.LIMIT:
+                self.known.clear()
+                new = {x for s in split for x in s}
+            self._learn(new)
+        for text, tokens in zip(texts, split, strict=True):
+            margins = []
+            if self.marks is not None and tokens:
+                margins = list(map(self.known.__getitem__, set(tokens)))
+                if _RUN.search(text):
+                    margins += self._words(spelled(tokens))
+            out.append(evidence(margins, self.model.bias, len(tokens)))
+        return self.model.probability(np.array(out).reshape(-1, 4))
 
 
 _RUN = re.compile(r"(?:(?<!\S)[^\W\d_]\W{0,2}\s+){2}[^\W\d_]\W{0,2}(?!\S)")
@@ -252,61 +246,74 @@ def _machine(x: np.ndarray, y: np.ndarray, cost: float = 1.0) -> tuple[np.ndarra
     return w[:-1], float(w[-1])
 
 
-def _logistic(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Scale and shift of a logistic fit with a slight prior."""
-    z, w = np.c_[m, np.ones(len(m))], np.zeros(2)
+def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights and shift of a logistic fit with a slight prior."""
+    z = np.c_[x, np.ones(len(x))]
+    w, reg = np.zeros(z.shape[1]), 1e-2 * np.eye(z.shape[1])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
-        grad = z.T @ (p - y) + 1e-3 * w
-        step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2), grad)
+        step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + reg, z.T @ (p - y) + reg @ w)
         w = w - step
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0]), float(w[1])
+    return w
+
+
+def stretched(word: str) -> list[str]:
+    """The word with one letter put in, at each inner place (the letter varies with the place)."""
+    return [word[:k] + "xqzvj"[k % 5] + word[k:] for k in range(1, len(word))]
 
 
-def train(rows: list[tuple[str | None, int]], landmarks: int = 48, rounds: int = 4) -> ToxicityModel:
+def train(rows: list[tuple[str | None, int]], landmarks: int = 96, rounds: int = 4) -> ToxicityModel:
     """Learn from (text, 0 or 1) pairs, on the driver."""
-    texts = [sentences(t) for t, _ in rows]
+    texts = [(t or '').split() for t, _ in rows]
     y = np.array([1 if v else 0 for _, v in rows])
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     if not n1 or not n0:
         share = n1 / len(y) if len(y) else 0.0
-        return ToxicityModel([], np.zeros((0, 0)), np.zeros(0), 0.0, 0.0, math.log(max(share, 1e-9) / max(1 - share, 1e-9)))
+        return ToxicityModel([], np.zeros((0, 0)), np.zeros(0), 0.0, np.array([0, 0, 0, 0, math.log(max(share, 1e-9) / max(1 - share, 1e-9))]))
     of = Memo(units)
-    words = [[[u for t in s for u in of[t]] + spelled(s) for s in doc] for doc in texts]
+    words = [[u for t in doc for u in of[t]] + spelled(doc) for doc in texts]
     seen = [Counter(), Counter()]
-    for doc, label in zip(words, y, strict=True):
-        seen[label].update({u for s in doc for u in s if len(u) >= 3})
+    for doc, label in {str(d): (d, v) for d, v in zip(words, y, strict=True)}.values():  # copies count once
+        seen[label].update({u for u in doc if len(u) >= 3})
     odds = {u: math.log((c + 0.5) / (n1 + 1)) - math.log((seen[0][u] + 0.5) / (n0 + 1)) for u, c in seen[1].items()}
     odds |= {u: math.log(0.5 / (n1 + 1)) - math.log((c + 0.5) / (n0 + 1)) for u, c in seen[0].items() if u not in odds}
-    value = lambda u: (seen[1][u] + seen[0][u]) * odds[u]
+    # how far a word stands out with either label, beyond LOG_ODDS
+    value = lambda u: seen[1][u] * (odds[u] - LOG_ODDS) if odds[u] > LOG_ODDS else min(0.0, seen[0][u] * (odds[u] + LOG_ODDS))
     ranked = sorted(odds, key=lambda u: (-value(u), u))
     common = sorted(seen[0], key=lambda u: (-seen[0][u], u))
-    picked = list(dict.fromkeys([*ranked[: landmarks // 2], *ranked[: -landmarks // 4 : -1], *common[: landmarks // 4]]))
+    picked = list(dict.fromkeys([*ranked[: 2 * landmarks // 3], *ranked[: -landmarks // 6 : -1], *common[: landmarks // 6]]))
     marks = Landmarks(picked)
     own = marks.kernel(picked).astype(float)
     own = (own + own.T) / 2
     values, vectors = np.linalg.eigh(own)
     whiten = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0.05))) @ vectors.T
-    vocabulary = sorted({u for doc in words for s in doc for u in s})
+    vocabulary = sorted({u for doc in words for u in doc})
     row = {u: k for k, u in enumerate(vocabulary)}
     kernel = marks.kernel(vocabulary)
     strong = kernel.any(1)
-    x = []
-    for doc in words:
-        feats = [np.max([kernel[i] for i in near], 0) if (near := [row[u] for u in s if strong[row[u]]]) else np.zeros(len(picked), np.float32) for s in doc]
-        x.append(np.unique(np.array(feats), axis=0) @ whiten if feats else np.zeros((1, len(picked))))
-    # the first witness of a toxic text: the sentence nearest to the words most typical of the label
-    weight, bias = whiten @ np.array([max(0.0, value(u)) for u in picked]), 0.0
+    feats = np.r_[kernel, np.zeros((1, len(picked)), np.float32)] @ whiten  # the last row is any unlike word
+    x = [np.array([*sorted({row[u] for u in doc if strong[row[u]]}), len(vocabulary)]) for doc in words]
+    # the first witness is the word nearest to one typical of the label
+    typical = np.array([max(0.0, value(u)) for u in picked])
+    margin = np.r_[(kernel**2 * typical).max(1), 0.0]
+    clean_of = [d for d, v in zip(x, y, strict=True) if not v]
+    toxic_of = [d for d, v in zip(x, y, strict=True) if v]
+    known = np.array([u in odds and value(u) > STANDS_OUT for u in vocabulary] + [False])
+    usual = STANDS_OUT
+    held = np.concatenate(toxic_of)
     for _ in range(rounds):
-        worst = [d[int((d @ weight).argmax())] for d in x]
-        clean = np.concatenate([d[np.argsort(-(d @ weight), kind="stable")[:5]] for d, v in zip(x, y, strict=True) if not v])
-        toxic = np.array([d for d, v in zip(worst, y, strict=True) if v])
-        weight, bias = _machine(np.r_[toxic, clean], np.r_[np.ones(len(toxic)), -np.ones(len(clean))])
-    margin = np.array([float((d @ weight).max()) + bias for d in x])
-    scale, shift = _logistic(margin, y)
-    return ToxicityModel(picked, whiten, weight, bias, scale, shift)
+        on = (margin > usual) | known & (margin > 0)
+        toxic = held[on[held]] if on[held].any() else held
+        bent = [v for i in sorted(set(toxic.tolist())) if i < len(vocabulary) and (toxic == i).sum() > 2 for v in stretched(vocabulary[i])]
+        clean = np.unique(np.concatenate([d[np.argsort(-margin[d], kind="stable")[:5]] for d in clean_of]))
+        pos = np.r_[feats[toxic], marks.kernel(bent) @ whiten] if bent else feats[toxic]
+        weight, bias = _machine(np.r_[pos, feats[clean]], np.r_[np.ones(len(pos)), -np.ones(len(clean))])
+        margin = feats @ weight + bias
+        usual = np.quantile([margin[d].max() for d in clean_of], 0.99)
+    seen_by = np.array([evidence(margin[d], bias, len(doc)) for d, doc in zip(x, texts, strict=True)])
+    return ToxicityModel(picked, whiten, weight, bias, _logistic(seen_by, y))
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 1500, max_chars: int = 8000) -> ToxicityModel:
@@ -332,7 +339,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     def run(batches):
         scorer = Scorer(held.value)
         for b in slices(batches, 1000):
-            p = held.value.probability(scorer.margins(b.column(1).to_pylist()))
+            p = scorer.score(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64())], names=["doc_id", "score"])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
