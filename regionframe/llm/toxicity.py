@@ -41,6 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from regionframe.llm.arrow import slices
 from regionframe.llm.text import Memo
@@ -293,11 +294,12 @@ def train(rows: list[tuple[str | None, int]], landmarks: int = 96, rounds: int =
     row = {u: k for k, u in enumerate(vocabulary)}
     kernel = marks.kernel(vocabulary)
     strong = kernel.any(1)
-    feats = np.r_[kernel, np.zeros((1, len(picked)), np.float32)] @ whiten  # the last row is any unlike word
-    x = [np.array([*sorted({row[u] for u in doc if strong[row[u]]}), len(vocabulary)]) for doc in words]
+    x = [np.array([*sorted({row[u] for u in doc if strong[row[u]]}), len(vocabulary)], np.int32) for doc in words]
     # the first witness is the word nearest to one typical of the label
     typical = np.array([max(0.0, value(u)) for u in picked])
-    margin = np.r_[(kernel**2 * typical).max(1), 0.0]
+    margin = np.r_[[float((k * k * typical).max()) for k in kernel], 0.0]
+    feats = np.r_[kernel @ whiten.astype(np.float32), np.zeros((1, len(picked)), np.float32)]  # the last row is any unlike word
+    del kernel
     clean_of = [d for d, v in zip(x, y, strict=True) if not v]
     toxic_of = [d for d, v in zip(x, y, strict=True) if v]
     known = np.array([u in odds and value(u) > STANDS_OUT for u in vocabulary] + [False])
@@ -316,7 +318,7 @@ def train(rows: list[tuple[str | None, int]], landmarks: int = 96, rounds: int =
     return ToxicityModel(picked, whiten, weight, bias, _logistic(seen_by, y))
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 1500, max_chars: int = 8000) -> ToxicityModel:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 900, max_chars: int = 5000) -> ToxicityModel:
     """Learn from at most ``max_rows`` texts of each label (see the module's text)."""
     src = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label"))
     src = src.filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (F.length("text") <= max_chars)).withColumn("h", F.xxhash64("doc_id", F.lit(7)))
@@ -332,15 +334,16 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     return train([(text, label) for _, label, text in rows])
 
 
-def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score, for each row."""
+def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, score, for each row, and the columns named in ``carry`` (none of these two names) as they are."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         scorer = Scorer(held.value)
         for b in slices(batches, 1000):
             p = scorer.score(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64()), *b.columns[2:]], names=["doc_id", "score", *carry])
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, score double")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)])
+    schema = StructType([StructField("doc_id", LongType()), StructField("score", DoubleType()), *[StructField(c, docs.schema[c].dataType) for c in carry]])
+    return src.mapInArrow(run, schema)
