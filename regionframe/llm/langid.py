@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from regionframe.llm.arrow import slices
 
@@ -29,6 +30,7 @@ BITS = 16
 UND = "und"
 _ROWS = 500
 _TABLE: list[np.ndarray] = []
+_PREDICTED = StructType([StructField("doc_id", LongType()), StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("langs", ArrayType(StringType())), StructField("shares", ArrayType(DoubleType()))])
 
 
 @dataclass(frozen=True)
@@ -158,8 +160,11 @@ def shares(texts: list[str | None], model: LanguageModel, penalty: float, rounds
     return out
 
 
-def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", penalty: float = 3.0, rounds: int = 12) -> DataFrame:
-    """doc_id, lang_pred, score (share of that language), langs and shares (the selected set, largest first)."""
+def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", penalty: float = 3.0, rounds: int = 12, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang_pred, score (share of that language), langs and shares (the selected set, largest first).
+
+    Columns of ``docs`` named in ``carry`` follow as they are; they must not have one of these five names.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -174,10 +179,12 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
                 score.append(min(1.0, float(row[o[0]])) if o else 0.0)
                 langs.append([m.langs[k] for k in o])
                 parts.append([float(row[k]) for k in o])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(langs, pa.list_(pa.string())), pa.array(parts, pa.list_(pa.float64()))], names=["doc_id", "lang_pred", "score", "langs", "shares"])
+            made = [pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(langs, pa.list_(pa.string())), pa.array(parts, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *made, *b.columns[2:]], names=["doc_id", "lang_pred", "score", "langs", "shares", *carry])
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, lang_pred string, score double, langs array<string>, shares array<double>")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)])
+    schema = StructType([*_PREDICTED.fields, *[StructField(c, docs.schema[c].dataType) for c in carry]])
+    return src.mapInArrow(run, schema)
 
 
 def fold(id_col: Column, folds: int) -> Column:

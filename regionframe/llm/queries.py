@@ -10,6 +10,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regionframe.llm.unigram import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regionframe.llm.ngram_join import similarity_components
 
@@ -55,6 +61,20 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regionframe.llm import shards
+
+    path, _ = shards.materialise(_table(spark, sf_dir, "documents"), key="training-order-v1", stable=True)
+    out = shards.records(spark, path)
+    return out.select("slot", "doc_id", "seq", "n_tokens", F.xxhash64("ids").alias("ids_hash"), F.expr("slot DIV 8192").alias("shard"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regionframe.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regionframe.llm.mtree import top_k
 
@@ -91,12 +111,23 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(stats, rules).select("doc_id", *quality.COUNTS, "base_failed", "kept", "rule")
 
 
+def op10_n_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regionframe.llm.unigram import n_best
+
+    out = n_best(_table(spark, sf_dir, "documents"), n=4)
+    return out.select("doc_id", "rank", "score", "n_tokens", F.xxhash64("ids").alias("ids_hash"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_toxicity": op2_toxicity,
+    "op3_token_counts": op3_token_counts,
     "op4_ngram_join": op4_ngram_join,
+    "op5_shards": op5_shards,
+    "op6_packing": op6_packing,
     "op7_top_k": op7_top_k,
     "op8_language": op8_language,
     "op9_quality": op9_quality,
+    "op10_n_best": op10_n_best,
 }
 ORACLES = {"op4_ngram_join": OP4_SQL, "op7_top_k": OP7_SQL}
