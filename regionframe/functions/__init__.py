@@ -1 +1 @@
-
+"""Expressions, predicates and aggregates as Spark columns."""

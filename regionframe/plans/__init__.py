@@ -1 +1 @@
-
+"""Plan builders that several operators share."""

@@ -1 +1 @@
-
+"""Readers, writers and the repository of datasets."""

@@ -1 +1 @@
-
+"""Region files as they arrive."""
