@@ -145,7 +145,7 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 def file_text(spark: SparkSession, path: str) -> str:
     """A small text file, read through Spark's file systems."""
-    rows = spark.read.option("wholetext", True).text(path).collect()
+    rows = spark.read.text(path, wholetext=True).collect()
     return rows[0]["value"]
 
 
