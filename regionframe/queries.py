@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from regionframe.functions.aggregates import Agg
 from regionframe.lang.script import Script
 from regionframe.model import Dataset, c
-from regionframe.sources.writers import profile
+from regionframe.sources.readers import Parser, lines, pairs, parser_of
+from regionframe.sources.schema import Schema
+from regionframe.sources.writers import gtf_lines, profile, tab_lines
 from regionframe.testdata import events, items
 
 QUERIES = {}
@@ -328,6 +330,14 @@ def map_aggregates(spark, d):
     return rounded(lineage(x.project(()).map(y, aggs, ["group"], "n", bin_size=BIN).regions, spark))
 
 
+@query("map_bag", f""", k AS (SELECT a.sid, a.chrom, a.l, a.r, a.s, b.sid AS j, string_agg(b.linestatus, ',' ORDER BY b.linestatus) AS bag, round(avg(b.discount), 4) AS mean FROM ev_e a JOIN od b ON {_LAP} GROUP BY ALL)
+SELECT sid AS ref_id, j AS exp_id, chrom, l AS "left", r AS "right", s AS strand, bag, mean FROM k""")
+def map_bag(spark, d):
+    x, y = eo(spark, d)
+    out = x.project(()).map(y, [Agg("BAG", "linestatus", "bag"), Agg("AVG", "discount", "mean")], count_name="n", bin_size=BIN)
+    return rounded(lineage(out.select(region=("cmp", ("field", "n"), ">", 0)).project(["bag", "mean"]).regions, spark), 4)
+
+
 @query("map_meta", f"{_PAIRS} SELECT i AS ref_id, j AS exp_id, 'E.' || attribute AS attribute, value FROM pr JOIN me ON me.sid = i UNION ALL SELECT i, j, 'O.' || attribute, value FROM pr JOIN mo ON mo.sid = j")
 def map_meta(spark, d):
     x, y = eo(spark, d)
@@ -509,6 +519,27 @@ def region_profile(spark, d):
     return rounded(profile(items(spark, d)), 4)
 
 
+@query("lines_tab", f"SELECT {COORD}, score, discount, tax, linestatus FROM li")
+def lines_tab(spark, d):
+    """Written as tab-separated lines with 1-based starts and read back."""
+    ds = items(spark, d)
+    layout = Parser(0, 1, 2, 3, ((4, "score", "DOUBLE"), (5, "discount", "DOUBLE"), (6, "tax", "DOUBLE"), (7, "linestatus", "STRING")), one_based=True)
+    return lines(tab_lines(ds, one_based=True).select("sample_id", "value"), layout)
+
+
+@query("lines_gtf", f"SELECT {COORD}, 'regionframe' AS source, 'Region' AS feature, score, '.' AS frame, discount, linestatus FROM li")
+def lines_gtf(spark, d):
+    ds = items(spark, d).project(["score", "discount", "linestatus"])
+    layout = parser_of(Schema("x", (("discount", "DOUBLE"), ("linestatus", "STRING")), "gtf"))
+    return lines(gtf_lines(ds).select("sample_id", "value"), layout)
+
+
+@query("lines_meta", "SELECT sid AS sample_id, attribute, value FROM meta")
+def lines_meta(spark, d):
+    meta = items(spark, d).meta
+    return pairs(meta.select("sample_id", F.concat_ws("\t", "attribute", "value").alias("value")).unionByName(spark.createDataFrame([(0, "one field"), (0, "a\tb\tc")], "sample_id long, value string")))
+
+
 SCRIPT = """
 # positive regions of the even samples against the odd ones
 A = SELECT(region: strand == '+') E;
