@@ -52,21 +52,26 @@ WINDOW, STEP = 14, 5
 #: Texts times log odds by which a word has to stand out to be a first witness.
 STANDS_OUT, LOG_ODDS = 10.0, 2.5
 _ALPHABET = 64
-_OFFSETS = [(i, j, DECAY ** (j - 2)) for j in range(2, SPAN) for i in range(1, j)]
+_OFFSETS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
+_DECAYS = DECAY ** np.arange(SPAN - 2)
+_LAST = 1 << 30
 _PARTS = re.compile(r"[^\W_]+")
 #: Digits and signs that stand for letters (fixed values).
 _SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
+_ACCENTS = re.compile("[\u0300-\u036f]")
 _INNER = re.compile(r"(?<=[^\W\d_])[013457@$!](?=[^\W\d_])")
 
 
 def _letters(word: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", word.casefold()) if c.isalpha())
+    plain = _ACCENTS.sub("", unicodedata.normalize("NFKD", word.casefold()))
+    return plain if plain.isalpha() else "".join(c for c in plain if c.isalpha())
 
 
 def units(token: str) -> list[str]:
     """The words that a white-space token is read as."""
-    if token.isascii() and token.isalpha() and len(token) <= WINDOW:
-        return [token.lower()]
+    plain = token.rstrip(".,;:!?#*$%&|")  # at the end they stand for no letter
+    if plain.isascii() and plain.isalpha() and len(plain) <= WINDOW:
+        return [plain.lower()]
     token = _INNER.sub(lambda m: m[0].translate(_SIGNS), token)
     parts = [p for p in (_letters(x) for x in _PARTS.findall(token)) if p]
     if len(parts) > 1:
@@ -80,7 +85,7 @@ def units(token: str) -> list[str]:
 
 def _codes(words: list[str]) -> np.ndarray:
     """words x WINDOW letter codes, -1 past the end."""
-    out = np.full((len(words), WINDOW), -1, np.int64)
+    out = np.full((len(words), WINDOW), -1, np.int32)
     for k, w in enumerate(words):
         c = [ord(x) - 97 if "a" <= x <= "z" else 26 + ord(x) % (_ALPHABET - 26) for x in w[:WINDOW]]
         out[k, : len(c)] = c
@@ -88,25 +93,29 @@ def _codes(words: list[str]) -> np.ndarray:
 
 
 def _features(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Subsequence numbers (-1: none) and weights, for each word."""
+    """Subsequence numbers (-1: none), for each word, and their numbers of gaps."""
     n = codes.shape[1]
-    cols, weights = [], []
-    for i, j, w in _OFFSETS:
+    cols, gaps = [], []
+    for i, j in _OFFSETS:
         a, b, c = codes[:, : n - j], codes[:, i : n - j + i], codes[:, j:]
         cols.append(np.where(c >= 0, (a * _ALPHABET + b) * _ALPHABET + c, -1))
-        weights += [w] * (n - j)
-    return np.concatenate(cols, 1), np.array(weights, np.float32)
+        gaps += [j - 2] * (n - j)
+    return np.concatenate(cols, 1), np.array(gaps, np.int32)
 
 
-def _norms(f: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Lengths of the feature maps; a subsequence that occurs twice in a word adds up before it is squared."""
-    out = np.where(f >= 0, w * w, 0).sum(1)
-    order = np.sort(f, 1)
-    for i in np.flatnonzero(((order[:, 1:] == order[:, :-1]) & (order[:, 1:] >= 0)).any(1)):
-        on = f[i] >= 0
-        _, inverse = np.unique(f[i][on], return_inverse=True)
-        out[i] = (np.bincount(inverse, w[on]) ** 2).sum()
-    return np.sqrt(np.maximum(out, 1e-9))
+def _weights(f: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+    """Weights of the occurrences, over the length of the word's feature map.
+
+    A subsequence that occurs twice in a word adds up before it is squared.
+    """
+    key = np.sort(np.where(f >= 0, f * 4 + gaps, _LAST), 1)
+    value = np.where(key == _LAST, 0, _DECAYS[key & 3])
+    new = np.ones(key.shape, bool)
+    new[:, 1:] = key[:, 1:] >> 2 != key[:, :-1] >> 2
+    starts = np.flatnonzero(new.ravel())
+    sums = np.add.reduceat(value.ravel(), starts)
+    square = np.bincount(starts // key.shape[1], sums * sums, minlength=len(f))
+    return (_DECAYS[gaps] / np.sqrt(np.maximum(square, 1e-9))[:, None]).astype(np.float32)
 
 
 class Landmarks:
@@ -116,8 +125,8 @@ class Landmarks:
 
     def __init__(self, words: list[str]):
         self.words = words
-        f, w = _features(_codes(words))
-        unit = w / _norms(f, w)[:, None]
+        f, gaps = _features(_codes(words))
+        unit = _weights(f, gaps)
         codes = np.unique(f[f >= 0])
         self.slot = np.zeros(_ALPHABET**3 + 1, np.int32)  # the last one is for -1
         self.slot[codes] = np.arange(1, len(codes) + 1)
@@ -127,8 +136,8 @@ class Landmarks:
 
     def _each(self, words: list[str]):
         for k in range(0, len(words), self.CHUNK):
-            f, w = _features(_codes(words[k : k + self.CHUNK]))
-            yield self.slot[f], w / _norms(f, w)[:, None]
+            f, gaps = _features(_codes(words[k : k + self.CHUNK]))
+            yield self.slot[f], _weights(f, gaps)
 
     def kernel(self, words: list[str]) -> np.ndarray:
         """words x landmarks."""
@@ -193,6 +202,7 @@ class Scorer:
         self.model = model
         self.marks = Landmarks(model.words) if model.words else None
         self.known: dict[str, float] = {}
+        self.older: dict[str, float] = {}
 
     def _learn(self, tokens: set[str]) -> None:
         tokens = sorted(tokens)
@@ -211,11 +221,12 @@ class Scorer:
         out = []
         split = [(t or "").split() for t in texts]
         if self.marks is not None:
+            if 2 * len(self.known) > self.LIMIT:
+                self.known, self.older = {}, self.known
             new = {x for s in split for x in s} - self.known.keys()
-            if len(self.known) + len(new) > self.LIMIT:
-                self.known.clear()
-                new = {x for s in split for x in s}
-            self._learn(new)
+            again = new & self.older.keys()
+            self.known |= {t: self.older[t] for t in again}
+            self._learn(new - again)
         for text, tokens in zip(texts, split, strict=True):
             margins = []
             if self.marks is not None and tokens:
@@ -340,7 +351,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
     def run(batches):
         scorer = Scorer(held.value)
-        for b in slices(batches, 1000):
+        for b in slices(batches, 300):
             p = scorer.score(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64()), *b.columns[2:]], names=["doc_id", "score", *carry])
 
