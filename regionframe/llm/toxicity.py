@@ -51,6 +51,8 @@ SPAN, DECAY = 6, 0.75
 WINDOW, STEP = 14, 5
 #: Texts times log odds by which a word has to stand out to be a first witness.
 STANDS_OUT, LOG_ODDS = 10.0, 2.5
+#: What a toxic text with a letter put into its worst word weighs in the logistic fit.
+STRETCHED_WEIGHT = 0.005
 _ALPHABET = 64
 _OFFSETS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
 _DECAYS = DECAY ** np.arange(SPAN - 2)
@@ -258,13 +260,13 @@ def _machine(x: np.ndarray, y: np.ndarray, cost: float = 1.0) -> tuple[np.ndarra
     return w[:-1], float(w[-1])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Weights and shift of a logistic fit with a slight prior."""
     z = np.c_[x, np.ones(len(x))]
     w, reg = np.zeros(z.shape[1]), 1e-2 * np.eye(z.shape[1])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
-        step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + reg, z.T @ (p - y) + reg @ w)
+        step = np.linalg.solve(z.T @ (z * (weights * p * (1 - p))[:, None]) + reg, z.T @ (weights * (p - y)) + reg @ w)
         w = w - step
         if np.abs(step).max() < 1e-9:
             break
@@ -317,7 +319,7 @@ def train(rows: list[tuple[str | None, int]], landmarks: int = 96, rounds: int =
     usual = STANDS_OUT
     held = np.concatenate(toxic_of)
     for _ in range(rounds):
-        on = (margin > usual) | known & (margin > 0)
+        on = (margin > usual) | known
         toxic = held[on[held]] if on[held].any() else held
         bent = [v for i in sorted(set(toxic.tolist())) if i < len(vocabulary) and (toxic == i).sum() > 2 for v in stretched(vocabulary[i])]
         clean = np.unique(np.concatenate([d[np.argsort(-margin[d], kind="stable")[:5]] for d in clean_of]))
@@ -325,8 +327,16 @@ def train(rows: list[tuple[str | None, int]], landmarks: int = 96, rounds: int =
         weight, bias = _machine(np.r_[pos, feats[clean]], np.r_[np.ones(len(pos)), -np.ones(len(clean))])
         margin = feats @ weight + bias
         usual = np.quantile([margin[d].max() for d in clean_of], 0.99)
-    seen_by = np.array([evidence(margin[d], bias, len(doc)) for d, doc in zip(x, texts, strict=True)])
-    return ToxicityModel(picked, whiten, weight, bias, _logistic(seen_by, y))
+    seen_by = [evidence(margin[d], bias, len(doc)) for d, doc in zip(x, texts, strict=True)]
+    # toxic texts once more, with a letter put into their worst word and nothing else against them
+    spelling = [*vocabulary, ""]
+    top = [(spelling[d[margin[d].argmax()]], len(doc)) for d, doc, v in zip(x, texts, y, strict=True) if v and margin[d].max() > 0]
+    top = [(word, n) for word, n in top if len(word) > 2]
+    bent = [stretched(word)[len(word) // 2 - 1] for word, _ in top]
+    low = marks.linear(bent, whiten @ weight) + bias
+    seen_by += [evidence([float(v)], bias, n) for v, (_, n) in zip(low, top, strict=True)]
+    labels, weights = np.r_[y, np.ones(len(bent), int)], np.r_[np.ones(len(y)), np.full(len(bent), STRETCHED_WEIGHT)]
+    return ToxicityModel(picked, whiten, weight, bias, _logistic(np.array(seen_by), labels, weights))
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 900, max_chars: int = 5000) -> ToxicityModel:
