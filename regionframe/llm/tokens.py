@@ -1,24 +1,16 @@
-"""Byte-level BPE of whole texts with a memory of the pieces between single spaces.
-
-The pre-tokenizer's expression never matches across a single space between two
-other characters except at its front, so a text may be cut before each such
-space and the cuts encoded on their own.  Results equal encoding whole texts.
-"""
+"""Byte-level BPE of whole texts."""
 
 from __future__ import annotations
 
 import base64
-import re
 
+import numpy as np
 from pyspark.sql import SparkSession
 
-from regionframe.llm.text import Memo
-
 #: Where the vocabulary lies on the driver; a parameter of every operator that uses it.
 RANKS_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The vocabulary's own pre-tokenizer (a fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 def ranks(spark: SparkSession, path: str = RANKS_PATH):
@@ -31,7 +23,6 @@ class Bpe:
     """Token ids as little-endian bytes, ``width`` bytes each."""
 
     def __init__(self, table: bytes, width: int = 2):
-        import numpy as np
         import tiktoken
 
         merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, table.splitlines())}
@@ -39,18 +30,9 @@ class Bpe:
             raise ValueError("two bytes don't hold this vocabulary's ids")
         self.coder = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
         self.kind, self.width = np.dtype(f"<u{width}"), width
-        self.spaced = Memo(lambda w: self._raw(" " + w), 400_000)
-
-    def _raw(self, text: str) -> bytes:
-        import numpy as np
-
-        return np.array(self.coder.encode_ordinary(text), self.kind).tobytes()
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        first, *rest = _CUT.split(text)
-        return self._raw(first) + b"".join(map(self.spaced.__getitem__, rest))
+        return np.array(self.coder.encode_ordinary(text), self.kind).tobytes() if text else b""
 
     def count(self, text: str | None) -> int:
-        return len(self.encode(text)) // self.width
+        return len(self.coder.encode_ordinary(text)) if text else 0
