@@ -5,7 +5,9 @@ becomes U+2581, one is put in front) and cut before every such mark that
 follows another character; where no piece holds a mark after another character,
 no segmentation crosses a cut, so segments are solved alone and remembered.
 
-Counting keeps a score and a number of pieces for each position only.  Matches
+Counting keeps a score and a number of pieces for each position only.  For lists
+the same pass also keeps the second-best score, which tells the few segments
+whose alternatives matter; the search runs on these alone.  Matches
 come from an Aho-Corasick automaton.  The tokenizer's rules hold: a character
 that is no piece costs the lowest score less 10 and, with byte fallback, counts
 as its UTF-8 bytes; of equally good ways to a position the one whose last piece
@@ -30,7 +32,6 @@ from __future__ import annotations
 import heapq
 import re
 from dataclasses import dataclass
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -108,8 +109,10 @@ class Lattice:
             self.automaton.add_word(piece, (len(piece), i, score))
         if vocabulary.pieces:
             self.automaton.make_automaton()
+        self.singles = {p for p in vocabulary.pieces if len(p) == 1}
         self.cuttable = not any(MARK in p.lstrip(MARK) for p in vocabulary.pieces)
-        self.counted = Memo(self._count, 400_000)
+        self.counted = Memo(self._count, 600_000)
+        self.solved = Memo(self._solve, 400_000)
         self.ranked: dict[int, Memo] = {}
 
     def segments(self, text: str | None) -> list[str]:
@@ -142,8 +145,45 @@ class Lattice:
                     top, best[end], count[end] = s, s, count[start] + n
         return best, count
 
-    def _count(self, segment: str) -> tuple[float, int]:
-        best, count = self._forward(self._arcs(segment))
+    def _solve(self, s: str) -> tuple[float, float, int, bytes]:
+        """Score of the best segmentation, what the second best loses on it, and the best one's ids, as number and bytes.
+
+        One pass over the matches in the order of their ends; longer ones come
+        first, so that of equal ways the one with the earlier start stays.
+        """
+        low = float("-inf")
+        best, second, back = [0.0] + [low] * len(s), [low] * (len(s) + 1), [(0, 0)] * (len(s) + 1)
+        if self.singles.issuperset(s):
+            arcs = ((last + 1 - n, last + 1, i, score) for last, (n, i, score) in self.automaton.iter(s))
+        else:
+            arcs = ((start, end, i, score) for end, found in enumerate(self._arcs(s)) for start, i, score, _ in found)
+        for start, end, i, score in arcs:
+            x = best[start] + score
+            if x > best[end]:
+                y = second[start] + score
+                second[end] = y if y > best[end] else best[end]
+                best[end], back[end] = x, (start, i)
+            elif x > second[end]:
+                second[end] = x
+        cuts, end = [], len(s)
+        while end:
+            start, i = back[end]
+            cuts.append((start, end, i))
+            end = start
+        ids = self._ids(s, cuts[::-1])
+        return best[-1], best[-1] - second[-1], len(ids), np.array(ids, "<i4").tobytes()
+
+    def _count(self, s: str) -> tuple[float, int]:
+        """Score and number of ids of the best segmentation: the same pass with two numbers for each position."""
+        if not self.singles.issuperset(s):
+            best, count = self._forward(self._arcs(s))
+            return best[-1], count[-1]
+        low = float("-inf")
+        best, count = [0.0] + [low] * len(s), [0] * (len(s) + 1)
+        for last, (n, _, score) in self.automaton.iter(s):
+            x = best[last + 1 - n] + score
+            if x > best[last + 1]:
+                best[last + 1], count[last + 1] = x, count[last + 1 - n] + 1
         return best[-1], count[-1]
 
     def count(self, text: str | None) -> tuple[int, float]:
@@ -176,25 +216,26 @@ class Lattice:
     def n_best_text(self, text: str | None, n: int) -> list[tuple[float, int, bytes]]:
         """The ``n`` best (score, number of ids, ids as int32 bytes) of a whole text."""
         if n not in self.ranked:
-            self.ranked[n] = Memo(lambda s: [(score, len(ids), np.array(ids, "<i4").tobytes()) for score, ids in self.n_best(s, n)], 100_000)
-        lists = list(map(self.ranked[n].__getitem__, self.segments(text)))
-        many = list(compress(range(len(lists)), [len(x) > 1 for x in lists]))
-        # the least alternatives, each (loss, segment, rank)
-        near = heapq.nsmallest(n - 1, ((lists[k][0][0] - lists[k][1][0], k) for k in many)) if n > 1 else []
-        least = heapq.nsmallest(n - 1, ((lists[k][0][0] - x[0], k, r) for _, k in near for r, x in enumerate(lists[k][1:], 1)))
+            self.ranked[n] = Memo(lambda s: [(score, np.array(ids, "<i4").tobytes()) for score, ids in self.n_best(s, n)], 50_000)
+        segments = self.segments(text)
+        solved = list(map(self.solved.__getitem__, segments))
+        losses = [x[1] for x in solved]
+        # segments without a second way lose infinitely much; of the rest the n-1 least losses matter
+        near = heapq.nsmallest(n - 1, zip(losses, range(len(losses)), strict=True)) if n > 1 else []
+        ranked = {k: self.ranked[n][segments[k]] for loss, k in near if loss < float("inf")}
+        least = heapq.nsmallest(n - 1, ((x[0][0] - way[0], k, r) for k, x in ranked.items() for r, way in enumerate(x[1:], 1)))
         by: dict[int, list[tuple[float, int]]] = {}
         for loss, k, r in least:
             by.setdefault(k, []).append((loss, r))
         ways: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
         for k in sorted(by, reverse=True):
             ways = heapq.nsmallest(n, [(w + loss, (*chosen, (k, r))) for w, chosen in ways for loss, r in [(0.0, 0), *by[k]]])
-        base = float(sum(x[0][0] for x in lists))
+        base = float(sum(x[0] for x in solved))
+        parts = [x[3] for x in solved]
         out = []
         for loss, chosen in ways:
-            swap = dict(chosen)
-            parts = [x[0][2] for x in lists]
-            for k, r in swap.items():
-                parts[k] = lists[k][r][2]
+            for k, r in chosen:
+                parts[k] = ranked[k][r][1]
             raw = b"".join(parts)
             out.append((base - loss, len(raw) // 4, raw))
         return out
