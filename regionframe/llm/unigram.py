@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -112,7 +113,7 @@ class Lattice:
         self.singles = {p for p in vocabulary.pieces if len(p) == 1}
         self.cuttable = not any(MARK in p.lstrip(MARK) for p in vocabulary.pieces)
         self.counted = Memo(self._count, 600_000)
-        self.solved = Memo(self._solve, 400_000)
+        self.solved = Memo(self._solve, 600_000)
         self.ranked: dict[int, Memo] = {}
 
     def segments(self, text: str | None) -> list[str]:
@@ -153,25 +154,31 @@ class Lattice:
         """
         low = float("-inf")
         best, second, back = [0.0] + [low] * len(s), [low] * (len(s) + 1), [(0, 0)] * (len(s) + 1)
-        if self.singles.issuperset(s):
-            arcs = ((last + 1 - n, last + 1, i, score) for last, (n, i, score) in self.automaton.iter(s))
+        if not self.singles.issuperset(s):
+            arcs = ((end - 1, (end - start, i, score)) for end, found in enumerate(self._arcs(s)) for start, i, score, _ in found)
         else:
-            arcs = ((start, end, i, score) for end, found in enumerate(self._arcs(s)) for start, i, score, _ in found)
-        for start, end, i, score in arcs:
+            arcs = self.automaton.iter(s)
+        for last, (n, i, score) in arcs:
+            end = last + 1
+            start = end - n
             x = best[start] + score
-            if x > best[end]:
+            top = best[end]
+            if x > top:
                 y = second[start] + score
-                second[end] = y if y > best[end] else best[end]
+                second[end] = y if y > top else top
                 best[end], back[end] = x, (start, i)
             elif x > second[end]:
                 second[end] = x
-        cuts, end = [], len(s)
+        ids, end = [], len(s)
         while end:
             start, i = back[end]
-            cuts.append((start, end, i))
+            if i >= 0:
+                ids.append(i)
+            else:
+                ids += reversed(self._ids(s, [(start, end, i)]))
             end = start
-        ids = self._ids(s, cuts[::-1])
-        return best[-1], best[-1] - second[-1], len(ids), np.array(ids, "<i4").tobytes()
+        ids.reverse()
+        return best[-1], best[-1] - second[-1], len(ids), array("i", ids).tobytes()
 
     def _count(self, s: str) -> tuple[float, int]:
         """Score and number of ids of the best segmentation: the same pass with two numbers for each position."""
