@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def batched(rows, schema: pa.Schema, size: int = 2000):
@@ -22,8 +24,16 @@ def batch(rows, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def slices(batches, rows: int):
-    """The same rows in record batches of at most ``rows`` rows, so that long texts stay few at a time."""
+def slices(batches, rows: int, size: int = 1 << 20, column: int = 1):
+    """The same rows in record batches of at most ``rows`` rows and, but for single rows, ``size`` bytes of text.
+
+    A worker's memory then follows neither the length of texts nor Spark's batch size.
+    """
     for b in batches:
-        for k in range(0, b.num_rows, rows):
-            yield b.slice(k, rows)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < b.num_rows:
+            fits = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+            end = max(at + 1, min(at + rows, fits))
+            yield b.slice(at, end - at)
+            at = end

@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from regionframe.llm.arrow import slices
+from regionframe.llm.store import modest_batches
 
 #: 2**BITS hashed trigrams for each language.
 BITS = 16
 UND = "und"
-_ROWS = 500
+#: Rows and bytes of text read at once.
+_ROWS, _BYTES = 500, 400_000
 _TABLE: list[np.ndarray] = []
 _PREDICTED = StructType([StructField("doc_id", LongType()), StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("langs", ArrayType(StringType())), StructField("shares", ArrayType(DoubleType()))])
 
@@ -71,7 +73,7 @@ def _grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(batches):
     totals: dict[str, np.ndarray] = {}
-    for b in slices(batches, _ROWS):
+    for b in slices(batches, _ROWS, _BYTES, 0):
         texts, langs = b.column(0).to_pylist(), b.column(1).to_pylist()
         at, gram = _grams(texts)
         names = sorted(set(langs))
@@ -86,6 +88,7 @@ def _count(batches):
 
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothing: float = 0.05) -> LanguageModel:
     """Learn from all ``rows`` with a text and a language."""
+    modest_batches(rows.sparkSession)
     src = rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     counted = src.mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     langs = tuple(sorted(counted["lang"].unique()))
@@ -165,11 +168,12 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
 
     Columns of ``docs`` named in ``carry`` follow as they are; they must not have one of these five names.
     """
+    modest_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = held.value
-        for b in slices(batches, _ROWS):
+        for b in slices(batches, _ROWS, _BYTES // max(1, len(m.langs) // 8)):
             share = shares(b.column(1).to_pylist(), m, penalty, rounds)
             order = np.argsort(-share, axis=1, kind="stable")
             names, score, langs, parts = [], [], [], []

@@ -39,9 +39,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from regionframe.llm.arrow import batched, slices
 from regionframe.llm.components import components
-from regionframe.llm.store import small_or_shuffled, written
-from regionframe.llm.text import shingle_set
+from regionframe.llm.store import modest_batches, small_or_shuffled, written
+from regionframe.llm.text import shingle_set, word_hashes
 
 #: 2**SKETCH_BITS buckets of the shingle histogram; one byte each when broadcast.
 SKETCH_BITS = 21
@@ -65,25 +66,10 @@ def _digest(h: np.ndarray) -> tuple[int, int]:
 
 
 def _rows(batches):
-    for b in batches:
+    for b in slices(batches, 1000):
         yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
 
 
-def _batched(rows, schema: pa.Schema, size: int = 2000):
-    part = []
-    for r in rows:
-        part.append(r)
-        if len(part) >= size:
-            yield _batch(part, schema)
-            part = []
-    if part:
-        yield _batch(part, schema)
-
-
-def _batch(part, schema):
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
-
-
 _I = pa.int64()
 _SEEN_A = pa.schema([("doc_id", _I), ("n", _I), ("d1", _I), ("d2", _I), ("block", pa.int32()), ("counts", pa.binary())])
 _PREFIX_A = pa.schema([("doc_id", _I), ("n", _I), ("d1", _I), ("d2", _I), ("toks", pa.list_(_I)), ("b0", _I), ("b1", _I), ("b2", _I), ("b3", _I)])
@@ -92,11 +78,11 @@ _SETS_A = pa.schema([("doc_id", _I), ("toks", pa.list_(_I))])
 
 def _seen(width: int):
     def run(batches):
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+        counts, hashes = np.zeros(1 << SKETCH_BITS, np.uint32), word_hashes()
 
         def rows():
             for doc, text in _rows(batches):
-                h = shingle_set(text, width)
+                h = shingle_set(text, width, hashes)
                 np.add.at(counts, (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
                 yield (doc, len(h), *_digest(h), None, None)
             for k in range(0, len(counts), BLOCK):
@@ -104,7 +90,7 @@ def _seen(width: int):
                 if len(at):
                     yield None, None, None, None, k // BLOCK, at.tobytes() + counts[k : k + BLOCK][at].tobytes()
 
-        yield from _batched(rows(), _SEEN_A)
+        yield from batched(rows(), _SEEN_A)
 
     return run
 
@@ -122,11 +108,11 @@ def _added(pdf):
 
 def _prefixes(width: int, num: int, den: int, sketch):
     def run(batches):
-        level = np.frombuffer(sketch.value, np.uint8)
+        level, hashes = np.frombuffer(sketch.value, np.uint8), word_hashes()
 
         def rows():
             for doc, text in _rows(batches):
-                h = shingle_set(text, width)
+                h = shingle_set(text, width, hashes)
                 n = len(h)
                 if not n:
                     continue
@@ -137,14 +123,15 @@ def _prefixes(width: int, num: int, den: int, sketch):
                 odd = np.bincount((h & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1
                 yield (doc, n, *_digest(h), h[first].view(np.int64).tolist(), *np.packbits(odd).view(np.int64).tolist())
 
-        yield from _batched(rows(), _PREFIX_A)
+        yield from batched(rows(), _PREFIX_A)
 
     return run
 
 
 def _sets(width: int):
     def run(batches):
-        yield from _batched(((doc, shingle_set(text, width).view(np.int64).tolist()) for doc, text in _rows(batches)), _SETS_A, 500)
+        hashes = word_hashes()
+        yield from batched(((doc, shingle_set(text, width, hashes).view(np.int64).tolist()) for doc, text in _rows(batches)), _SETS_A, 500)
 
     return run
 
@@ -164,6 +151,7 @@ def _verified(pairs: DataFrame, src: DataFrame, width: int, num: int, den: int)
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 90, den: int = 100, width: int = 3) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id (see the module's text)."""
     spark = docs.sparkSession
+    modest_batches(spark)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     seen = written(src.mapInArrow(_seen(width), _SEEN), "seen")

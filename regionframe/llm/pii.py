@@ -54,10 +54,6 @@ _ANY = "|".join(PATTERNS.values()).replace("([ -])", "(?:[ -])").replace(r"\1",
 _MAYBE = "[0-9@]|[0-9a-f]{32}"
 
 
-def _quoted(s: str) -> str:
-    return "r'" + s.replace("'", "\\'") + "'" if "'" not in s else "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def _hash(key: str, kind: str, value: str, digits: int = 12) -> str:
     """SQL: hexadecimals of a keyed hash of ``value`` (SQL)."""
     return f"substr(sha2(concat({key}, '|{kind}|', {value}), 256), 1, {digits})"
@@ -133,10 +129,6 @@ def _replaced(key: str) -> str:
     return "CASE m.k " + " ".join(f"WHEN '{k}' THEN {e}" for k, e in each.items()) + " END"
 
 
-def _kind(v: str) -> str:
-    return "CASE " + " ".join(f"WHEN {v} RLIKE {_quoted('^(?:' + p + ')$')} THEN '{k}'" for k, p in PATTERNS.items()) + " END"
-
-
 def found(text: Column | str) -> Column:
     """array<struct<k, v>>: kind and string of everything in ``text`` that looks like personal data."""
     c = F.col(text) if isinstance(text, str) else text

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regionframe.llm.arrow import batched, slices
+from regionframe.llm.store import modest_batches
 
 #: Characters counted as symbols (fixed values).
 SYMBOLS = "#*$%&|<>"
@@ -65,6 +66,7 @@ def counts(text: str | None) -> tuple[int, int, int, int, int]:
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and COUNTS, for each row's whole text."""
+    modest_batches(docs.sparkSession)
 
     def run(batches):
         rows = ((d, *counts(t)) for b in slices(batches, 1000) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))

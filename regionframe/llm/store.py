@@ -39,6 +39,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that Spark hands to a Python worker at once, where whole texts go there.
+BATCH_ROWS = 1000
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows if they are larger.
+
+    A batch of texts stands in the memory of the JVM and of the worker at once;
+    with Spark's default of 10,000 rows some long texts would fill both.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def release(spark: SparkSession) -> None:
     """Delete every table this application wrote here; frames that still read them become invalid."""
     jvm = spark.sparkContext._jvm

@@ -5,24 +5,35 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-MEMO_LIMIT = 1_000_000
+MEMO_LIMIT = 200_000
 
 
 class Memo(dict):
-    """A dictionary filled on demand and emptied when full, so a worker's memory stays bounded."""
+    """A dictionary filled on demand, in two generations: when the younger is full it becomes the older.
+
+    What is still asked for moves up again, so frequent keys stay and a worker's memory is bounded.
+    """
 
     def __init__(self, make, limit: int = MEMO_LIMIT):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.older = make, limit, {}
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
+        if 2 * len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.older.get(key, self)
+        if value is self:
+            value = self.make(key)
+        self[key] = value
         return value
 
 
-WORD_HASH = Memo(xxhash.xxh3_64_intdigest)
+def word_hashes() -> Memo:
+    """Hashes of words, remembered for as long as the caller keeps it: one task."""
+    return Memo(xxhash.xxh3_64_intdigest)
+
+
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -38,13 +49,13 @@ def word_bytes(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def shingle_set(text: str | None, width: int = 3) -> np.ndarray:
+def shingle_set(text: str | None, width: int, hashes: Memo) -> np.ndarray:
     """Sorted distinct hashes of the ``width``-word shingles; a shorter text is one shingle, no word gives none."""
     words = word_bytes(text)
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
-    a = np.fromiter(map(WORD_HASH.__getitem__, words), np.uint64, n)
+    a = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
     w = min(width, n)
     h = np.full(n - w + 1, w, np.uint64)
     for k in range(w):

@@ -7,6 +7,8 @@ import base64
 import numpy as np
 from pyspark.sql import SparkSession
 
+from regionframe.llm.store import modest_batches
+
 #: Where the vocabulary lies on the driver; a parameter of every operator that uses it.
 RANKS_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The vocabulary's own pre-tokenizer (a fixed value).
@@ -15,6 +17,7 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 
 def ranks(spark: SparkSession, path: str = RANKS_PATH):
     """The vocabulary file, sent to the executors; it is read on the driver only."""
+    modest_batches(spark)
     with open(path, "rb") as f:
         return spark.sparkContext.broadcast(f.read())
 

@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from regionframe.llm.arrow import slices
+from regionframe.llm.store import modest_batches
 from regionframe.llm.text import Memo
 
 SPAN, DECAY = 6, 0.75
@@ -198,7 +199,7 @@ def evidence(margins, bias: float, words: int) -> list[float]:
 class Scorer:
     """Scores texts; keeps the margins of the tokens it has met, within bounds."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __init__(self, model: ToxicityModel):
         self.model = model
@@ -357,6 +358,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, score, for each row, and the columns named in ``carry`` (none of these two names) as they are."""
+    modest_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regionframe.llm.arrow import batched, slices
+from regionframe.llm.store import modest_batches
 from regionframe.llm.text import Memo
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -249,6 +250,7 @@ class Lattice:
 
 
 def _held(spark: SparkSession, path: str):
+    modest_batches(spark)
     return spark.sparkContext.broadcast(load(path))
 
 
@@ -300,7 +302,7 @@ def decode(segmented: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
         for p, (i, _) in v.pieces.items():
             pieces[i] = p
         byte_of = {i: b for b, i in enumerate(v.byte_ids)}
-        rows = ((d, r, decoded(np.frombuffer(raw, "<i4").tolist(), pieces, byte_of, v.unknown)) for b in slices(batches, 500) for d, r, raw in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        rows = ((d, r, decoded(np.frombuffer(raw, "<i4").tolist(), pieces, byte_of, v.unknown)) for b in slices(batches, 500, column=2) for d, r, raw in zip(*(c.to_pylist() for c in b.columns), strict=True))
         yield from batched(rows, _TEXT, 500)
 
     return segmented.select("doc_id", "rank", "ids").mapInArrow(run, "doc_id long, rank int, text string")
