@@ -3,9 +3,11 @@
 Learning counts hashed letter trigrams for each language over all given rows
 (a partial aggregate; the model has languages x 2**BITS numbers).  For each
 document, expectation-maximisation estimates the share of every language from
-the trigram likelihoods; then languages are taken out, smallest share first,
-as long as the penalised likelihood ``LL - penalty * (k - 1) * log(n)`` does
-not fall.  The best single language competes too.
+the trigram likelihoods, each document to its own maximum.  Then languages are
+taken out, least loss first, down to pairs, and of all sets on the way and the
+best single language the one of the highest penalised likelihood
+``LL - penalty * (k - 1) * log(n)`` is chosen.  Sets are left out only where an
+upper bound of their likelihood shows that none in them can win.
 
 Cases: a null text or one without a letter is ``und`` with score 0 and no
 languages; so is every text when nothing could be learned.  Rows to learn from
@@ -31,6 +33,8 @@ BITS = 16
 UND = "und"
 #: Rows and bytes of text read at once.
 _ROWS, _BYTES = 500, 400_000
+#: Log likelihoods are maximal but for this much; shares do not fall below LEAST on the way, and up to NONE count as 0.
+GAP, LEAST, NONE = 1e-4, 1e-12, 1e-9
 _TABLE: list[np.ndarray] = []
 _PREDICTED = StructType([StructField("doc_id", LongType()), StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("langs", ArrayType(StringType())), StructField("shares", ArrayType(DoubleType()))])
 
@@ -97,68 +101,105 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothi
     return LanguageModel(langs, np.log((n + smoothing) / (n.sum(1, keepdims=True) + smoothing * n.shape[1])))
 
 
-def _em(p, cnt, starts, of, total, active, rounds):
-    """Shares and log likelihood of each document under its active languages."""
-    pi = active / active.sum(1, keepdims=True)
-    for _ in range(rounds):
-        r = pi[of] * p
-        s = r.sum(1)
-        r *= (cnt / np.maximum(s, 1e-30))[:, None]
-        new = np.add.reduceat(r, starts) / total[:, None]
-        moved = np.abs(new - pi).max()
-        pi = new
-        if moved < 1e-3:
-            break
-    s = (pi[of] * p).sum(1)
-    return pi, np.add.reduceat(cnt * np.log(np.maximum(s, 1e-30)), starts)
+def _step(pi, slope, power, active):
+    """Shares times a power of their slopes; none is lost for good."""
+    new = np.where(active, np.log(np.maximum(pi, LEAST)) + power[:, None] * np.log(slope), -np.inf)
+    new = np.maximum(np.exp(new - new.max(1, keepdims=True)), LEAST) * active
+    return new / new.sum(1, keepdims=True)
+
+
+def _em(p, cnt, size, total, pi, plain, enough):
+    """At the maximum of each document's likelihood over the languages with a share in ``pi``: shares, log likelihood, and how far below an upper bound it is.
+
+    Each document stops alone, once the bound is within GAP, or not above ``enough``.  Log likelihood is
+    concave in the shares, so no shares have more than it and ``total`` times the highest slope less 1.
+    After ``plain`` rounds steps get longer; one that loses likelihood gives way to a plain one.
+    """
+    active = pi > 0
+    shares, lls, gaps = pi.copy(), np.zeros(len(pi)), np.zeros(len(pi))
+    live, open_ = np.arange(len(pi)), np.ones(len(pi), bool)
+    trial, kept, slope, ll, power = pi, pi, np.ones_like(pi), np.full(len(pi), -np.inf), np.ones(len(pi))
+    done = 0
+    while len(live):
+        starts, of = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
+        while True:
+            s = np.einsum("ij,ij->i", trial[of], p)
+            now = np.add.reduceat(cnt * np.log(s), starts)
+            up = np.add.reduceat(p * (cnt / s)[:, None], starts) / total[:, None]
+            take = (now >= ll) | (power == 1)
+            kept, slope, ll = np.where(take[:, None], trial, kept), np.where(take[:, None], up, slope), np.where(take, now, ll)
+            done += 1
+            power = np.where(take & (done > plain), np.minimum(power * 1.5, 30), 1.0)
+            gap = total * (np.where(active, slope, 0).max(1) - 1)
+            stop = open_ & take & ((gap <= GAP) | (ll + gap <= enough))
+            at = live[stop]
+            shares[at], lls[at], gaps[at] = kept[stop], ll[stop], gap[stop]
+            open_ &= ~stop
+            if 4 * size[open_].sum() <= 3 * size.sum():
+                break
+            trial = _step(kept, slope, power, active)
+        rows = np.repeat(open_, size)
+        p, cnt = p[rows], cnt[rows]
+        trial = _step(kept, slope, power, active)
+        live, size, total, active, trial, kept, slope, ll, power, enough = (v[open_] for v in (live, size, total, active, trial, kept, slope, ll, power, enough))
+        open_ = np.ones(len(live), bool)
+    return shares, lls, gaps
 
 
 def shares(texts: list[str | None], model: LanguageModel, penalty: float, rounds: int) -> np.ndarray:
-    """texts x languages: the shares of the selected language sets; a row of zeros where there is no letter."""
+    """texts x languages: the shares of the selected language sets; a row of zeros where there is no letter.
+
+    ``rounds`` is the number of plain rounds before steps get longer; each text goes on to its own maximum.
+    """
     k = len(model.langs)
     out = np.zeros((len(texts), k))
     at, gram = _grams(texts)
     if not len(at) or not k:
         return out
     key, cnt = np.unique((at << BITS) + gram, return_counts=True)
-    doc, gram, cnt = key >> BITS, key & ((1 << BITS) - 1), cnt.astype(np.float32)
+    doc, gram, cnt = key >> BITS, key & ((1 << BITS) - 1), cnt.astype(float)
     starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     docs, size = doc[starts], np.diff(np.r_[starts, len(doc)])
-    of = np.repeat(np.arange(len(docs)), size)
     total = np.add.reduceat(cnt, starts)
-    lp = model.logp.T[gram].astype(np.float32)
-    single = np.add.reduceat(lp * cnt[:, None], starts)
+    lp = model.logp.T[gram]
     # likelihoods are scaled for each trigram, which changes no comparison
-    top = lp.max(1)
-    p = np.exp(lp - top[:, None])
-    single = single - np.add.reduceat(top * cnt, starts)[:, None]
+    lp -= lp.max(1)[:, None]
+    single = np.add.reduceat(lp * cnt[:, None], starts)
+    p = np.exp(lp, out=lp)
     best = single.argmax(1)
-    pi, ll = _em(p, cnt, starts, of, total, np.ones((len(docs), k), np.float32), rounds)
     cost = penalty * np.log(np.maximum(total, 2))
-    found = np.zeros((len(docs), k))
-    one = single[np.arange(len(docs)), best] >= ll - cost * (k - 1)
-    found[one, best[one]] = 1
-    # mixed documents: take languages out, one at a time
-    todo = np.flatnonzero(~one)
-    if len(todo):
-        use = np.isin(of, todo)
-        p, cnt, of = p[use], cnt[use], np.searchsorted(todo, of[use])
-        starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-        total, cost, pi, ll = total[todo], cost[todo], pi[todo], ll[todo]
-        active, live = np.ones((len(todo), k), np.float32), np.ones(len(todo), bool)
-        for size_now in range(k, 1, -1):
-            drop = np.where(active > 0, pi, 2).argmin(1)
-            less = active.copy()
-            less[np.arange(len(todo)), drop] = 0
-            pi2, ll2 = _em(p, cnt, starts, of, total, less, rounds)
-            better = live & (ll2 + cost >= ll)
-            active[better], pi[better], ll[better] = less[better], pi2[better], ll2[better]
-            live = better
-            if not live.any() or size_now == 2:
-                break
-        found[todo] = pi * (active > 0)
-        alone = single[todo, best[todo]] >= ll - cost * ((active > 0).sum(1) - 1)
-        found[todo[alone]] = np.eye(k)[best[todo[alone]]]
+    found = np.eye(k)[best]
+    value = single[np.arange(len(docs)), best]
+
+    def tried(todo, active):
+        """_em for documents ``todo``; a set stops where neither it nor one of two or more in it can win."""
+        use = np.zeros(len(docs), bool)
+        use[todo] = True
+        rows = np.repeat(use, size)
+        start = active * (0.1 * active / active.sum(1, keepdims=True) + 0.9 * found[todo])
+        return _em(p[rows], cnt[rows], size[todo], total[todo], start / start.sum(1, keepdims=True), rounds, value[todo] + cost[todo])
+
+    todo = np.arange(len(docs)) if k > 1 else np.zeros(0, int)
+    pi, ll, gap = tried(todo, np.ones((len(todo), k)))
+    while len(todo):
+        # a set can still win, or one in it: languages without a share are no part of it
+        able = ll + gap > value[todo] + cost[todo]
+        todo, pi, ll = todo[able], pi[able], ll[able]
+        pi = np.where(pi > NONE, pi, 0)
+        n = (pi > 0).sum(1)
+        worth = ll - cost[todo] * (n - 1)
+        better = (n > 1) & (worth > value[todo])
+        value[todo[better]], found[todo[better]] = worth[better], pi[better]
+        more = n > 2
+        todo, active, n = todo[more], (pi[more] > 0).astype(float), n[more]
+        # the language whose loss costs least goes next
+        pi, ll, gap = np.zeros((len(todo), k)), np.full(len(todo), -np.inf), np.zeros(len(todo))
+        rank = active.cumsum(1) * active
+        for c in range(1, int(n.max(initial=0)) + 1):
+            on = np.flatnonzero(n >= c)
+            pi2, ll2, gap2 = tried(todo[on], active[on] * (rank[on] != c))
+            top = ll2 + gap2 > ll[on] + gap[on]
+            pi[on[top]], ll[on[top]], gap[on[top]] = pi2[top], ll2[top], gap2[top]
     out[docs] = found / found.sum(1, keepdims=True)
     return out
 

@@ -1,5 +1,7 @@
 """Learned operators: held-out accuracy on made-up text, and every defined case."""
 
+import inspect
+import itertools
 import random
 
 import numpy as np
@@ -60,6 +62,53 @@ def test_selection_is_exhaustive_for_two(model):
         assert ((share > 0).sum() == 2) == (both > alone.max())
 
 
+def best_set(text, model, penalty):
+    """Of all sets of languages the one of the highest penalised likelihood: value and shares."""
+    _, gram = langid._grams([text])
+    p, out = np.exp(model.logp[:, gram]), (-np.inf, None)
+    for size in range(1, len(p) + 1):
+        for held in map(list, itertools.combinations(range(len(p)), size)):
+            pi = np.full(size, 1 / size)
+            for _ in range(1 if size == 1 else 3000):
+                old, w = pi, pi[:, None] * p[held]
+                pi = (w / w.sum(0)).mean(1)
+                if np.abs(pi - old).max() < 1e-9:
+                    break
+            v = np.log((pi[:, None] * p[held]).sum(0)).sum() - penalty * np.log(len(gram)) * (size - 1)
+            if v > out[0]:
+                out = v, np.zeros(len(p))
+                out[1][held] = pi
+    return out
+
+
+def many_languages(k, r, alike=0.0):
+    """Models over trigrams of random words, and a maker of words of each language."""
+    ends = [["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(60)] for _ in range(k)]
+    ends = [[x if r.random() >= alike else ends[0][i] for i, x in enumerate(e)] for e in ends]
+    word = lambda lang: "".join(r.choices(ends[lang], k=r.randrange(1, 4)))
+    n = np.full((k, 1 << langid.BITS), 0.05)
+    for lang in range(k):
+        _, gram = langid._grams([" ".join(word(lang) for _ in range(4000))])
+        np.add.at(n[lang], gram, 1)
+    return langid.LanguageModel(tuple(f"l{c}" for c in range(k)), np.log(n / n.sum(1, keepdims=True))), word
+
+
+def test_selection_against_all_sets():
+    """Small shares of a second and a third language among five, with the query's own penalty and rounds."""
+    r = random.Random(8)
+    five, word = many_languages(5, r, 0.5)
+    cases = [[word(0) for _ in range(n)] + [word(1) for _ in range(m)] + [word(2) for _ in range(m2)] for n in (15, 40) for m in (0, 1, 2, 4, 8, 12) for m2 in (0, 3, 10)]
+    texts = [" ".join(c) for c in cases]
+    defaults = inspect.signature(langid.predict).parameters
+    got = langid.shares(texts, five, defaults["penalty"].default, defaults["rounds"].default)
+    sizes = set()
+    for text, share in zip(texts, got, strict=True):
+        _, want = best_set(text, five, defaults["penalty"].default)
+        assert ((share > 0) == (want > 0)).all() and share == pytest.approx(want, abs=0.01)
+        sizes.add((share > 0).sum())
+    assert sizes >= {1, 2, 3}
+
+
 def test_nothing_learned(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     m = langid.fit(df)
