@@ -79,7 +79,7 @@ def units(token: str) -> list[str]:
     parts = [p for p in (_letters(x) for x in _PARTS.findall(token)) if p]
     if len(parts) > 1:
         whole = "".join(parts)
-        parts = ([] if max(map(len, parts)) <= 2 else parts) + ([whole] if len(whole) <= WINDOW else [])
+        parts = ([] if max(map(len, parts)) <= 2 else parts) + [whole]
     out = []
     for p in parts:
         out += [p] if len(p) <= WINDOW else [p[k : k + WINDOW] for k in range(0, len(p) - WINDOW + STEP, STEP)]

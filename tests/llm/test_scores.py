@@ -148,6 +148,18 @@ def test_units():
     assert toxicity.spelled("you i d i o t x".split()) == ["idiotx"] and all(len(u) <= toxicity.WINDOW for u in toxicity.units("x" * 100))
 
 
+def test_long_tokens_with_signs():
+    """What signs set apart is read whole, in windows past 14 letters."""
+    covers = lambda token, word: any(word in u for u in toxicity.units(token))
+    for word in ("stupid", "idiot", "moron"):
+        for n in (0, 1, 3, 8, 9, 10, 14, 15, 30):
+            for sign in ".-,_*":
+                token = sign.join("t" * n + word + "h" * n)
+                assert covers(token, word) and all(len(u) <= toxicity.WINDOW for u in toxicity.units(token)), token
+    assert covers("y.o.u.s.t.u.p.i.d.i.d.i.o.t.s", "stupid") and covers("y.o.u.s.t.u.p.i.d.i.d.i.o.t.s", "idiot")
+    assert covers("you,i.d.i.o.t,get-lost", "idiot") and {"you", "get", "lost"} <= set(toxicity.units("you,i.d.i.o.t,get-lost"))
+
+
 def texts(n, seed):
     r = random.Random(seed)
     bad = ("idiot", "moron", "stupid")
