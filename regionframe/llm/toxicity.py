@@ -20,8 +20,9 @@ probability.  A word that shares no
 subsequence with a landmark has the margin of an empty text.
 
 Learning takes at most ``max_rows`` labelled texts of each label, the smallest
-by a hash of the id, of at most ``max_chars`` letters each.  Scoring reads
-whole texts.
+by a hash of the id, of at most ``max_chars`` letters each.  In the logistic fit
+they are weighted to the labels' shares among all labelled ids, so that scores
+do not follow the bound.  Scoring reads whole texts.
 
 Cases: a null or empty text scores as one without any known word.  With no labelled
 text of one of the labels, all scores are the share of toxic labels (0 with none).
@@ -279,13 +280,14 @@ def stretched(word: str) -> list[str]:
     return [word[:k] + "xqzvj"[k % 5] + word[k:] for k in range(1, len(word))]
 
 
-def train(rows: list[tuple[str | None, int]], landmarks: int = 96, rounds: int = 4) -> ToxicityModel:
-    """Learn from (text, 0 or 1) pairs, on the driver."""
+def train(rows: list[tuple[str | None, int]], landmarks: int = 96, rounds: int = 4, counts: tuple[int, int] | None = None) -> ToxicityModel:
+    """Learn from (text, 0 or 1) pairs, on the driver; they stand for ``counts`` texts of label 0 and 1 (as many as there are)."""
     texts = [(t or '').split() for t, _ in rows]
     y = np.array([1 if v else 0 for _, v in rows])
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
+    c0, c1 = counts or (n0, n1)
     if not n1 or not n0:
-        share = n1 / len(y) if len(y) else 0.0
+        share = c1 / (c0 + c1) if c0 + c1 else 0.0
         return ToxicityModel([], np.zeros((0, 0)), np.zeros(0), 0.0, np.array([0, 0, 0, 0, math.log(max(share, 1e-9) / max(1 - share, 1e-9))]))
     of = Memo(units)
     words = [[u for t in doc for u in of[t]] + spelled(doc) for doc in texts]
@@ -336,24 +338,29 @@ def train(rows: list[tuple[str | None, int]], landmarks: int = 96, rounds: int =
     bent = [stretched(word)[len(word) // 2 - 1] for word, _ in top]
     low = marks.linear(bent, whiten @ weight) + bias
     seen_by += [evidence([float(v)], bias, n) for v, (_, n) in zip(low, top, strict=True)]
-    labels, weights = np.r_[y, np.ones(len(bent), int)], np.r_[np.ones(len(y)), np.full(len(bent), STRETCHED_WEIGHT)]
+    # each label weighs as much as it has of all labelled texts
+    of_label = np.array([c0 / n0, c1 / n1]) * len(y) / (c0 + c1)
+    labels, weights = np.r_[y, np.ones(len(bent), int)], np.r_[of_label[y], np.full(len(bent), STRETCHED_WEIGHT * of_label[1])]
     return ToxicityModel(picked, whiten, weight, bias, _logistic(np.array(seen_by), labels, weights))
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 900, max_chars: int = 5000) -> ToxicityModel:
     """Learn from at most ``max_rows`` texts of each label (see the module's text)."""
     src = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label"))
-    src = src.filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (F.length("text") <= max_chars)).withColumn("h", F.xxhash64("doc_id", F.lit(7)))
+    src = src.filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
+    all_of = {r["label"]: r["n"] for r in src.groupBy("label").agg(F.countDistinct("doc_id").alias("n")).collect()}
+    src = src.filter(F.length("text") <= max_chars).withColumn("h", F.xxhash64("doc_id", F.lit(7)))
     picked = []
     for label in (0, 1):  # numbers only; the texts of at most 2 * max_rows ids follow
         part = src.filter(F.col("label") == label).select("h", "doc_id").distinct().orderBy("h", "doc_id").limit(max_rows)
         picked += [(r["doc_id"], label) for r in part.collect()]
+    counts = all_of.get(0, 0), all_of.get(1, 0)
     if not picked:
-        return train([])
+        return train([], counts=counts)
     ids = labelled.sparkSession.createDataFrame(picked, "doc_id long, label int")
     found = src.join(F.broadcast(ids), ["doc_id", "label"], "left_semi").select("doc_id", "label", "text").toLocalIterator()
     rows = sorted({(r["doc_id"], r["label"], r["text"]) for r in found})
-    return train([(text, label) for _, label, text in rows])
+    return train([(text, label) for _, label, text in rows], counts=counts)
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -183,6 +183,21 @@ def test_toxicity_is_held_out(spark):
     assert toxicity.score(spark.createDataFrame([], "doc_id long, text string"), m).count() == 0
 
 
+def test_scores_do_not_follow_the_sample(spark):
+    """One text in ten is toxic, and half of those have no insult: the others' scores show the true share at every bound."""
+    r = random.Random(6)
+    rows = []
+    for k in range(900):
+        w = ["".join(r.choices("aehnorst", k=r.randrange(2, 7))) for _ in range(30)]
+        if k % 20 == 0:
+            w[3] = r.choice(("idiot", "moron", "stupid"))
+        rows.append((k, " ".join(w), int(k % 10 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    plain = [text for k, text, _ in rows if k % 20]
+    mean = [toxicity.Scorer(toxicity.fit(df, max_rows=n)).score(plain).mean() for n in (90, 200, 900)]
+    assert max(mean) < 0.12 and max(mean) - min(mean) < 0.05, mean
+
+
 def test_toxicity_without_labels(spark):
     none = toxicity.fit(spark.createDataFrame([], "doc_id long, text string, toxic int"))
     assert none.words == [] and toxicity.Scorer(none).score(["a", None])[0] == pytest.approx(0, abs=1e-6)
