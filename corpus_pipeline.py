@@ -39,7 +39,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 over five-word shingles, the one with the smallest id stays.
 
-    Rows that repeat an id are one document, of which one row stays; rows without an id cannot be linked and stay.
+    Rows that repeat an id are one document, of which each text stays once; rows without an id cannot be linked and stay.
     """
     docs = docs.select(*COLUMNS)
     groups = written(ngram_join.similarity_components(docs, num=80, den=100, width=5), "groups")
@@ -48,7 +48,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     n = ids.count()
     kept = docs.join(small_or_shuffled(ids, n, 16), "doc_id", "left_semi").select(*COLUMNS)
     if first.count() > n:
-        kept = kept.dropDuplicates(["doc_id"])
+        kept = kept.dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.filter("doc_id IS NULL"))
 
 

@@ -29,7 +29,8 @@ Cases: null or empty text, or text without a word, has an empty set, links with
 nothing and is its own component.  A null id takes no part in links; its
 component is the smallest id of documents with the same set, else null.
 Repeated rows get equal results, one for each row.  An id that carries several
-texts counts as one document with the links of each.
+texts counts as one document with the links of each; where there is one, rows
+are joined first, and components that share an id after that.
 """
 
 from __future__ import annotations
@@ -156,6 +157,9 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     seen = written(src.mapInArrow(_seen(width), _SEEN), "seen")
     rows = seen.filter("block IS NULL").select("doc_id", "n", "d1", "d2")
+    differ = F.min(F.struct("d1", "d2")) != F.max(F.struct("d1", "d2"))
+    if rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(differ.alias("several")).filter("several").limit(1).count():
+        return _of_several(src, num, den, width)
     classes = rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     sketch = bytearray(1 << SKETCH_BITS)
     for r in seen.filter("block IS NOT NULL").select("block", "counts").groupBy("block").applyInPandas(_added, "block int, levels binary").collect():
@@ -185,6 +189,22 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     )
 
 
+def _of_several(src: DataFrame, num: int, den: int, width: int) -> DataFrame:
+    """similarity_components where ids carry several texts: of single rows first, then the rows' components that share an id are one."""
+    held = written(src.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id()).alias("node"), "text"), "held")
+    found = written(similarity_components(held, "node", "text", num, den, width), "found")
+    # rows without an id keep their row's component, if any
+    named = written(found.filter("doc_id IS NOT NULL").withColumnRenamed("doc_id", "node").join(held.select("node", F.col("doc_id").alias("id")), "node").select("id", "n_shingles", F.col("component_id").alias("comp")), "named")
+    first = named.groupBy("id").agg(F.min("comp").alias("a"))
+    merged = components(named.join(first, "id").filter("comp != a").select("a", F.col("comp").alias("b")).distinct())
+    tops = merged.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    ids = named.join(tops, "comp", "left").withColumn("top", F.coalesce("top", "comp"))
+    least = written(ids.groupBy("top").agg(F.min("id").alias("component_id")), "least")
+    nameless = found.filter("doc_id IS NULL").select(F.col("doc_id").alias("id"), "n_shingles", F.col("component_id").alias("comp"))
+    every = named.unionByName(nameless).join(tops, "comp", "left").withColumn("top", F.coalesce("top", "comp"))
+    return every.join(least, "top", "left").select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def _chosen(items: DataFrame, num: int, den: int) -> DataFrame:
     """Postings (doc_id, n, lo, hi, u, l, tok, ti, tp) under the number of matches each document asks for.
 

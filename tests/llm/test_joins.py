@@ -69,6 +69,19 @@ def test_cases(spark):
     assert similarity_components(df.limit(0)).count() == 0
 
 
+def test_ids_with_several_texts(spark):
+    one, two = "a b c d e f g h i j k l", "m n o p q r s t u v w x"
+    rows = [(7, one), (7, two), (7, two), (3, one), (5, two), (8, "y z y"), (9, "y z y"), (9, ""), (None, two), (11, "only this text"), (12, "and this one")]
+    got = sorted(map(tuple, similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    # as in the SQL, an id's empty text has the component of the id
+    assert got == sorted([(7, 10, 3), (7, 10, 3), (7, 10, 3), (3, 10, 3), (5, 10, 3), (8, 1, 8), (9, 1, 8), (9, 0, 8), (None, 10, 3), (11, 1, 11), (12, 1, 12)], key=repr)
+    r = random.Random(4)
+    rows = [(r.randrange(60) if (t or "").strip() and r.random() < 0.5 else k + 100, t) for k, t in drawn(5)]
+    rows += [(None, t) for _, t in rows[:10]]
+    got = similarity_components(spark.createDataFrame(rows, "doc_id long, text string"), num=90, den=100, width=3)
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(rows, 90, 100, 3)
+
+
 def test_long_text(spark):
     r = random.Random(5)
     base = [f"t{r.randrange(9000)}" for _ in range(30_000)]

@@ -268,3 +268,12 @@ def test_pipeline_cases(spark, tmp_path):
             docs = spark.createDataFrame(docs.collect(), docs.schema)
         out = p.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
         assert sorted((x["doc_id"] for x in out), key=repr) == ([2, None] if rows else [])
+
+
+def test_near_copies_keep_unlike_texts_of_an_id(spark):
+    import corpus_pipeline as p
+
+    rows = [(2, "ab cd ef gh ij kl", "en", "s", 1), (2, "mn op qr st uv wx", "en", "s", 1), (2, "mn op qr st uv wx", "en", "t", 1), (3, "mn op qr st uv wx", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((x["doc_id"], x["text"]) for x in p.near_copies(spark, docs, "").collect())
+    assert got == [(2, rows[0][1]), (2, rows[1][1])]
