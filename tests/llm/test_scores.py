@@ -109,6 +109,19 @@ def test_selection_against_all_sets():
     assert sizes >= {1, 2, 3}
 
 
+def test_shares_are_maximal_and_do_not_follow_the_slice():
+    """Languages that resemble each other, with the query's own penalty and rounds."""
+    r = random.Random(9)
+    four, word = many_languages(4, r, 0.85)
+    texts = [" ".join(word(lang) for lang in (0, 1) for _ in range(n * (3 - 2 * lang))) for n in (10, 40, 150, 400)] + ["", "ab"]
+    defaults = inspect.signature(langid.predict).parameters
+    penalty, rounds = defaults["penalty"].default, defaults["rounds"].default
+    together = langid.shares(texts, four, penalty, rounds)
+    assert np.array_equal(together, np.concatenate([langid.shares([t], four, penalty, rounds) for t in texts]))
+    for text, share in zip(texts[:4], together, strict=False):
+        assert share == pytest.approx(best_set(text, four, penalty)[1], abs=0.02)
+
+
 def test_nothing_learned(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     m = langid.fit(df)
