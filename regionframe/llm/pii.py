@@ -15,7 +15,7 @@ permuted date is a date and nothing has to be drawn twice.
 kind    found and checked                      what is permuted
 email   local part at a domain                 local part, to "u" and 12 digits of its keyed hash
 card    13 to 19 digits with a Luhn sum of 0   all but the first and the last; the last is set anew
-iban    letters and digits, remainder 1        digits after the fourth character; check digits set anew
+iban    in one or in fours, remainder 1        digits after the fourth character; check digits set anew
 phone   international or (ddd) ddd-dddd        all digits after a leading +d
 ssn     ddd-dd-dddd, area not 0, 666, 9xx      all nine, area kept valid by permuting the last six only
 ipv4    four octets up to 255                  the 32 bits
@@ -40,12 +40,12 @@ ROUNDS = 8
 #: Possessive or bounded, and anchored to a token's start, so that a text is read in linear time.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])",
     "ipv4": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
-    "date": r"(?<![0-9A-Za-z])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})(?![0-9A-Za-z])",
+    "date": r"(?<![0-9A-Za-z])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?=T[0-9]{2})|(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})(?![0-9A-Za-z]))",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z+-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z-])",
+    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z+])\+[0-9](?:(?:[ .-]?[0-9]){7,14}(?![0-9A-Za-z])|(?:[ .-]?[0-9]){15}(?![0-9A-Za-z]))|(?<![0-9A-Za-z+-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z-])",
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?![0-9A-Za-z])",
 }
 KINDS = tuple(PATTERNS)
@@ -99,7 +99,7 @@ def _luhn(d: str) -> str:
 def _mod97(x: str) -> str:
     """SQL: an IBAN's remainder; letters count as 10 to 35."""
     step = "IF(c BETWEEN '0' AND '9', (s * 10 + CAST(c AS INT)) % 97, (s * 100 + ascii(c) - 55) % 97)"
-    return f"aggregate(filter(split(concat(substr({x}, 5), substr({x}, 1, 4)), ''), c -> c != ''), 0, (s, c) -> {step})"
+    return f"aggregate(filter(split(concat(substr({x}, 5), substr({x}, 1, 4)), ''), c -> c NOT IN ('', ' ')), 0, (s, c) -> {step})"
 
 
 def _replaced(key: str) -> str:

@@ -208,6 +208,21 @@ def test_emails_before_signs(spark):
     assert got[6]["text"].endswith("@example.com. Thanks")
 
 
+def test_printed_forms(spark):
+    whole = ["+33 12 34 56 78 90", "+33 1 23 45 67 89", "+1 415 555 2671", "+4915112345678", "+49 (0) 1", "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "NO93 8601 1117 947", "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 01"]
+    texts = [*(f"at {v}, x" for v in whole), "at 2021-03-04T10:00:00Z", "2021-03-04Tx", "2021-03-04", "+33 12 34 56 78 90 2021-03-04", "+" + "1" * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [[(m["k"], m["v"], m["w"]) for m in x["f"]] for x in pii.pseudonymise(df, "k", found_col="f").orderBy("doc_id").collect()]
+    for k in (0, 1, 2, 3, 5, 6, 7, 8):
+        ((kind, v, w),) = got[k]
+        assert v == whole[k] and kind == ("phone" if k < 4 else "iban") and re.sub("[0-9]", "9", w) == re.sub("[0-9]", "9", v) and w != v
+        plain = w.replace(" ", "")
+        assert kind == "phone" or int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    assert got[5][0][2].replace(" ", "") == got[6][0][2] and got[9][0][2] is None and got[4] == []
+    assert got[10] == got[12] and got[10][0][:2] == ("date", "2021-03-04") and got[11] == []
+    assert [m[:2] for m in got[13]] == [("phone", "+33 12 34 56 78 90"), ("date", "2021-03-04")] and got[14] == []
+
+
 def test_dates_and_numbers_are_permuted(spark):
     """Different values stay different, and dates stay dates."""
     dates = spark.sql("SELECT id AS doc_id, date_format(date_add(DATE'1990-01-01', CAST(id AS INT)), 'yyyy-MM-dd') AS text FROM range(3000)")
