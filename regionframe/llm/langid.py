@@ -209,6 +209,8 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
 
     Columns of ``docs`` named in ``carry`` follow as they are; they must not have one of these five names.
     """
+    if set(carry) & set(_PREDICTED.names):
+        raise ValueError(f"carry can't name one of {', '.join(_PREDICTED.names)}")
     modest_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 

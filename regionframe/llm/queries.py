@@ -55,7 +55,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regionframe.llm import toxicity
     from regionframe.llm.langid import fold
 
-    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
     learn = docs.filter(fold(F.col("doc_id"), 3) != 1).join(labels.select("doc_id", "toxic"), "doc_id")
     scored = toxicity.score(docs, toxicity.fit(learn))
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

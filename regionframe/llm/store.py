@@ -2,12 +2,13 @@
 
 An executor can be lost at any time, so intermediate results live in
 ``spark.checkpoint.dir`` (read from the session), never in executor memory or
-in a machine's own temporary folder.  Where the setting is absent, as in tests
-on one machine, a folder is chosen here.
+in a machine's own temporary folder.  Where the setting is absent and all runs
+on one machine, as in tests, a folder is chosen here; on a cluster it has to be set.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="regionframe-")

@@ -5,26 +5,33 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-MEMO_LIMIT = 200_000
+#: What an entry takes beside its key's and value's own bytes, about.
+ENTRY = 200
 
 
 class Memo(dict):
     """A dictionary filled on demand, in two generations: when the younger is full it becomes the older.
 
-    What is still asked for moves up again, so frequent keys stay and a worker's memory is bounded.
+    What is still asked for moves up again, so frequent keys stay.  ``limit`` bounds the bytes of
+    both generations; ``weigh(key, value)`` is what an entry takes beyond ENTRY.  An entry of more
+    than a 64th of the limit is made each time and not kept.
     """
 
-    def __init__(self, make, limit: int = MEMO_LIMIT):
+    def __init__(self, make, limit: int = 40 << 20, weigh=lambda key, value: len(key)):
         super().__init__()
-        self.make, self.limit, self.older = make, limit, {}
+        self.make, self.limit, self.weigh, self.used, self.older = make, limit, weigh, 0, {}
 
     def __missing__(self, key):
-        if 2 * len(self) >= self.limit:
-            self.older = dict(self)
-            self.clear()
         value = self.older.get(key, self)
         if value is self:
             value = self.make(key)
+        size = ENTRY + self.weigh(key, value)
+        if 64 * size > self.limit:
+            return value
+        if 2 * (self.used + size) > self.limit:
+            self.older, self.used = dict(self), 0
+            self.clear()
+        self.used += size
         self[key] = value
         return value
 

@@ -20,7 +20,7 @@ probability.  A word that shares no
 subsequence with a landmark has the margin of an empty text.
 
 Learning takes at most ``max_rows`` labelled texts of each label, the smallest
-by a hash of the id, of at most ``max_chars`` letters each.  In the logistic fit
+by a hash of the id, and reads them whole.  In the logistic fit
 they are weighted to the labels' shares among all labelled ids, so that scores
 do not follow the bound.  Scoring reads whole texts.
 
@@ -46,7 +46,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from regionframe.llm.arrow import slices
 from regionframe.llm.store import modest_batches
-from regionframe.llm.text import Memo
+from regionframe.llm.text import ENTRY, Memo
 
 SPAN, DECAY = 6, 0.75
 #: Letters of a word read at once, and the step between windows of longer words.
@@ -125,7 +125,7 @@ def _weights(f: np.ndarray, gaps: np.ndarray) -> np.ndarray:
 class Landmarks:
     """Kernel values against fixed words, by an inverted table of their subsequences."""
 
-    CHUNK = 4000
+    CHUNK = 1000
 
     def __init__(self, words: list[str]):
         self.words = words
@@ -198,15 +198,16 @@ def evidence(margins, bias: float, words: int) -> list[float]:
 
 
 class Scorer:
-    """Scores texts; keeps the margins of the tokens it has met, within bounds."""
+    """Scores texts; keeps the margins of the tokens it has met, up to LIMIT bytes in two generations."""
 
-    LIMIT = 200_000
+    LIMIT = 48 << 20
 
     def __init__(self, model: ToxicityModel):
         self.model = model
         self.marks = Landmarks(model.words) if model.words else None
         self.known: dict[str, float] = {}
         self.older: dict[str, float] = {}
+        self.used = 0
 
     def _learn(self, tokens: set[str]) -> None:
         tokens = sorted(tokens)
@@ -225,9 +226,10 @@ class Scorer:
         out = []
         split = [(t or "").split() for t in texts]
         if self.marks is not None:
-            if 2 * len(self.known) > self.LIMIT:
-                self.known, self.older = {}, self.known
+            if 2 * self.used > self.LIMIT:
+                self.known, self.older, self.used = {}, self.known, 0
             new = {x for s in split for x in s} - self.known.keys()
+            self.used += sum(map(len, new)) + ENTRY * len(new)
             again = new & self.older.keys()
             self.known |= {t: self.older[t] for t in again}
             self._learn(new - again)
@@ -308,14 +310,18 @@ def train(rows: list[tuple[str | None, int]], landmarks: int = 96, rounds: int =
     whiten = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0.05))) @ vectors.T
     vocabulary = sorted({u for doc in words for u in doc})
     row = {u: k for k, u in enumerate(vocabulary)}
-    kernel = marks.kernel(vocabulary)
-    strong = kernel.any(1)
-    x = [np.array([*sorted({row[u] for u in doc if strong[row[u]]}), len(vocabulary)], np.int32) for doc in words]
-    # the first witness is the word nearest to one typical of the label
     typical = np.array([max(0.0, value(u)) for u in picked])
-    margin = np.r_[[float((k * k * typical).max()) for k in kernel], 0.0]
-    feats = np.r_[kernel @ whiten.astype(np.float32), np.zeros((1, len(picked)), np.float32)]  # the last row is any unlike word
-    del kernel
+    strong, first, feats = [np.zeros(0, bool)], [np.zeros(0)], [np.zeros((0, len(picked)), np.float32)]
+    for k in range(0, len(vocabulary), 20_000):  # the kernel itself is never held whole
+        part = marks.kernel(vocabulary[k : k + 20_000])
+        strong.append(part.any(1))
+        first.append((part * part * typical).max(1))
+        feats.append(part @ whiten.astype(np.float32))
+    strong = np.concatenate(strong)
+    x = [np.array([*sorted({row[u] for u in doc if strong[row[u]]}), len(vocabulary)], np.int32) for doc in words]
+    # the first witness is the word nearest to one typical of the label; the last row is any unlike word
+    margin = np.r_[np.concatenate(first), 0.0]
+    feats = np.concatenate([*feats, np.zeros((1, len(picked)), np.float32)])
     clean_of = [d for d, v in zip(x, y, strict=True) if not v]
     toxic_of = [d for d, v in zip(x, y, strict=True) if v]
     known = np.array([u in odds and value(u) > STANDS_OUT for u in vocabulary] + [False])
@@ -344,12 +350,12 @@ def train(rows: list[tuple[str | None, int]], landmarks: int = 96, rounds: int =
     return ToxicityModel(picked, whiten, weight, bias, _logistic(np.array(seen_by), labels, weights))
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 900, max_chars: int = 5000) -> ToxicityModel:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 900) -> ToxicityModel:
     """Learn from at most ``max_rows`` texts of each label (see the module's text)."""
     src = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label"))
     src = src.filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
     all_of = {r["label"]: r["n"] for r in src.groupBy("label").agg(F.countDistinct("doc_id").alias("n")).collect()}
-    src = src.filter(F.length("text") <= max_chars).withColumn("h", F.xxhash64("doc_id", F.lit(7)))
+    src = src.filter("text IS NOT NULL").withColumn("h", F.xxhash64("doc_id", F.lit(7)))
     picked = []
     for label in (0, 1):  # numbers only; the texts of at most 2 * max_rows ids follow
         part = src.filter(F.col("label") == label).select("h", "doc_id").distinct().orderBy("h", "doc_id").limit(max_rows)
@@ -365,6 +371,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, score, for each row, and the columns named in ``carry`` (none of these two names) as they are."""
+    if {"doc_id", "score"} & set(carry):
+        raise ValueError("carry can't name doc_id or score")
     modest_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 

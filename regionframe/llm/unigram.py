@@ -98,6 +98,49 @@ def decoded(ids, pieces: list[str], byte_of: dict[int, int], unknown: int = 0) -
     return text[1:] if text.startswith(" ") else text
 
 
+class _Path:
+    """The end of a segmentation: its first piece, and the path behind that; of equal scores the smaller path goes first.
+
+    Paths share what they have in common, so a place in the queue takes the same memory at any length.
+    ``jump`` is a path further behind, such that any depth is reached in a logarithm of steps.
+    """
+
+    __slots__ = ("start", "piece", "behind", "depth", "jump")
+
+    def __init__(self, start: int, piece: int, behind: _Path | None):
+        self.start, self.piece, self.behind = start, piece, behind
+        if behind is None:
+            self.depth, self.jump = 0, self
+        else:
+            far = behind.jump
+            self.depth = behind.depth + 1
+            self.jump = far.jump if behind.depth - far.depth == far.depth - far.jump.depth else behind
+
+    def at(self, depth: int) -> _Path:
+        p = self
+        while p.depth > depth:
+            p = p.jump if p.jump.depth >= depth else p.behind
+        return p
+
+    def __lt__(self, other: _Path) -> bool:
+        """Starts compared from the last piece to the first, as far as both go."""
+        depth = min(self.depth, other.depth)
+        a, b = self.at(depth), other.at(depth)
+        if a is b:
+            return self.depth < other.depth
+        while a.behind is not b.behind:
+            a, b = (a.jump, b.jump) if a.jump is not b.jump else (a.behind, b.behind)
+        return a.start < b.start
+
+    def pieces(self) -> list[tuple[int, int, int]]:
+        """(start, end, id) of each piece, from the first on."""
+        out, p = [], self
+        while p.behind is not None:
+            out.append((p.start, p.behind.start, p.piece))
+            p = p.behind
+        return out
+
+
 class Lattice:
     """Segmentations of strings under one vocabulary."""
 
@@ -113,8 +156,8 @@ class Lattice:
             self.automaton.make_automaton()
         self.singles = {p for p in vocabulary.pieces if len(p) == 1}
         self.cuttable = not any(MARK in p.lstrip(MARK) for p in vocabulary.pieces)
-        self.counted = Memo(self._count, 600_000)
-        self.solved = Memo(self._solve, 600_000)
+        self.counted = Memo(self._count, 128 << 20)
+        self.solved = Memo(self._solve, 192 << 20, lambda s, x: len(s) + len(x[3]) + 100)
         self.ranked: dict[int, Memo] = {}
 
     def segments(self, text: str | None) -> list[str]:
@@ -209,22 +252,29 @@ class Lattice:
         """The ``n`` best (score, ids) of one string, by backward A*."""
         arcs = self._arcs(segment)
         ahead, _ = self._forward(arcs)
-        queue: list = [(-ahead[-1], (), len(segment), 0.0, ())]
+        queue: list = [(-ahead[-1], _Path(len(segment), -1, None), 0.0)]
         out: list[tuple[float, list[int]]] = []
+        # of the paths to one place only the first n can become one of the n best
+        left = bytearray([n]) * (len(segment) + 1) if n < 256 else [n] * (len(segment) + 1)
         while queue and len(out) < n:
-            rank, starts, at, behind, path = heapq.heappop(queue)
+            rank, path, behind = heapq.heappop(queue)
+            at = path.start
             if at == 0:
-                out.append((-rank, self._ids(segment, list(reversed(path)))))
+                out.append((-rank, self._ids(segment, path.pieces())))
+                continue
+            if not left[at]:
                 continue
+            left[at] -= 1
             for start, i, score, _ in arcs[at]:
-                total = behind + score
-                heapq.heappush(queue, (-(total + ahead[start]), (*starts, start), start, total, (*path, (start, at, i))))
+                if left[start]:
+                    total = behind + score
+                    heapq.heappush(queue, (-(total + ahead[start]), _Path(start, i, path), total))
         return out
 
     def n_best_text(self, text: str | None, n: int) -> list[tuple[float, int, bytes]]:
         """The ``n`` best (score, number of ids, ids as int32 bytes) of a whole text."""
         if n not in self.ranked:
-            self.ranked[n] = Memo(lambda s: [(score, np.array(ids, "<i4").tobytes()) for score, ids in self.n_best(s, n)], 50_000)
+            self.ranked[n] = Memo(lambda s: [(score, np.array(ids, "<i4").tobytes()) for score, ids in self.n_best(s, n)], 32 << 20, lambda s, x: len(s) + sum(len(ids) + 150 for _, ids in x))
         segments = self.segments(text)
         solved = list(map(self.solved.__getitem__, segments))
         losses = [x[1] for x in solved]

@@ -118,6 +118,52 @@ def test_scores_equal_the_library_n_best(lattice, library):
             assert [round(g[0]) for g in got] == [round(p.score) for p in want.nbests]
 
 
+def listed(lat, segment, n):
+    """The search without shared paths: whole tuples in the queue."""
+    import heapq
+
+    arcs = lat._arcs(segment)
+    ahead, _ = lat._forward(arcs)
+    queue, out = [(-ahead[-1], (), len(segment), 0.0, ())], []
+    while queue and len(out) < n:
+        rank, starts, at, behind, path = heapq.heappop(queue)
+        if at == 0:
+            out.append((-rank, lat._ids(segment, list(reversed(path)))))
+        for start, i, score, _ in arcs[at]:
+            heapq.heappush(queue, (-(behind + score + ahead[start]), (*starts, start), start, behind + score, (*path, (start, at, i))))
+    return out
+
+
+def test_lists_of_unspaced_letters(lattice):
+    """Ties in plenty: repeated letters, and scores that are whole numbers."""
+    r = random.Random(11)
+    for s in ["a" * 150, "ab" * 120, "".join(r.choices("abcdefgh", k=300)), "".join(r.choices("et", k=200)), "東京" * 30]:
+        for n in (1, 4, 9):
+            assert lattice.n_best(s, n) == listed(lattice, s, n), (s[:10], n)
+
+
+LONG = """
+import random, resource, numpy as np
+from regionframe.llm import unigram as u
+lat = u.Lattice(u.load())
+resource.setrlimit(resource.RLIMIT_DATA, (1 << 30, 1 << 30))
+for letters in ("abcdefghijklmnopqrstuvwxyz", "a"):
+    text = "".join(random.Random(1).choices(letters, k=200_000))
+    got = lat.n_best_text(text, 4)
+    assert len({x[2] for x in got}) == 4 and [x[0] for x in got] == sorted((x[0] for x in got), reverse=True)
+    assert lat.count(text) == (got[0][1], got[0][0])
+    pieces = {i: p for p, (i, _) in lat.v.pieces.items()}
+    assert all("".join(pieces[i] for i in np.frombuffer(x[2], "<i4").tolist()) == u.escaped(text) for x in got)
+"""
+
+
+def test_long_segment_in_bounded_memory():
+    import subprocess
+    import sys
+
+    subprocess.run([sys.executable, "-c", LONG], check=True, timeout=300)
+
+
 def test_decode_round_trip(spark):
     rows = [(1, "Hello wörld"), (2, ""), (3, None), (4, "a  b 🙂"), (4, "a  b 🙂")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
