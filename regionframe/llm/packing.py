@@ -4,9 +4,11 @@ A text's length is its number of tokens; one longer than the largest capacity
 is cut into pieces of that capacity and a rest.  Pieces are dealt evenly to
 groups of about ``group_items`` and each group is packed alone, longest first:
 a piece goes to the open bin that it leaves fullest, else a new bin is opened.
-Which size to open is decided jointly: every permitted size is tried as the
-usual one, each finished packing has its bins downsized to the least capacity
-that holds their contents, and the packing of least cost is kept.  A bin of
+The sizes are optimised jointly: a new bin gets the size that costs least for
+each token it can be expected to hold, by what is still to be packed; at the end
+every bin is downsized to the least capacity that holds its contents.  As a size
+that is good for one bin takes pieces from others, this is done for each set of
+sizes that may be opened at all, and the packing of least cost is kept.  A bin of
 capacity c costs ``c * (overhead + c)``: attention grows with the square.
 
 Cases: null and empty texts have no tokens and take no room: bin, capacity and
@@ -16,6 +18,9 @@ rows and ids are items of their own.  No row is dropped.
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import combinations
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,14 +39,31 @@ def cost(capacity: int) -> int:
     return capacity * (OVERHEAD + capacity)
 
 
-def packed(lengths: list[int], capacities: tuple[int, ...], usual: int) -> tuple[list[int], list[int], list[int]]:
-    """Bin and offset of each length (longest first), and the final capacity of each bin."""
+def _least(sizes: list[int], n: int) -> int:
+    return next(c for c in sizes if c >= n)
+
+
+def packed(lengths: list[int], capacities: tuple[int, ...], opened: tuple[int, ...]) -> tuple[list[int], list[int], list[int]]:
+    """Bin and offset of each length (longest first), and the final capacity of each bin.
+
+    A new bin gets the size among ``opened`` that costs least for each token it can be expected to hold:
+    the piece, then from the longest on what is left to pack and still fits, downsized after that.
+    Ties go to the smaller size; a piece longer than all of ``opened`` gets the least size that holds it.
+    """
     sizes = sorted(capacities)
+    choice = sorted(opened)
     room: list[list[int]] = [[] for _ in range(sizes[-1] + 1)]
     open_mask = 0  # bit r: a bin with r tokens left is open
+    to_come = Counter(lengths)
+    coming = 0  # bit n: a piece of n tokens is to come
+    for n in to_come:
+        coming |= 1 << n
     used: list[int] = []
     bins, offsets = [], []
     for n in lengths:
+        to_come[n] -= 1
+        if not to_come[n]:
+            coming ^= 1 << n
         fits = open_mask >> n
         if fits:
             left = n + ((fits & -fits).bit_length() - 1)
@@ -50,7 +72,20 @@ def packed(lengths: list[int], capacities: tuple[int, ...], usual: int) -> tuple
                 open_mask ^= 1 << left
         else:
             b = len(used)
-            left = max(usual, next(c for c in sizes if c >= n))
+            able = [c for c in choice if c >= n] or [_least(sizes, n)]
+            left = able[0]
+            if len(able) > 1:
+                best_cost, best_held = 1, 0  # infinitely dear
+                for c in able:
+                    rest, m = c - n, coming
+                    while m := m & ((2 << rest) - 1):
+                        longest = m.bit_length() - 1
+                        rest -= longest * min(to_come[longest], rest // longest)
+                        m ^= 1 << longest
+                    held = c - rest
+                    price = cost(_least(sizes, held))
+                    if price * best_held < best_cost * held:
+                        best_cost, best_held, left = price, held, c
             used.append(0)
         bins.append(b)
         offsets.append(used[b])
@@ -59,12 +94,14 @@ def packed(lengths: list[int], capacities: tuple[int, ...], usual: int) -> tuple
         if left:
             room[left].append(b)
             open_mask |= 1 << left
-    return bins, offsets, [next(c for c in sizes if c >= u) for u in used]
+    return bins, offsets, [_least(sizes, u) for u in used]
 
 
 def best(lengths: list[int], capacities: tuple[int, ...]) -> tuple[list[int], list[int], list[int]]:
-    """The cheapest packing over all usual sizes; ties go to the smaller one."""
-    return min((packed(lengths, capacities, c) for c in sorted(capacities)), key=lambda p: sum(map(cost, p[2])))
+    """The cheapest packing over all sets of sizes that may be opened; ties go to the smaller set, then to smaller sizes."""
+    sizes = sorted(capacities)
+    sets = [s for k in range(1, len(sizes) + 1) for s in combinations(sizes, k)]
+    return min((packed(lengths, capacities, s) for s in sets), key=lambda p: sum(map(cost, p[2])))
 
 
 def items(docs: DataFrame, largest: int, ranks_path: str, id_col: str, text_col: str) -> DataFrame:

@@ -4,6 +4,7 @@ import os
 import random
 import re
 import string
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -72,32 +73,43 @@ def test_packing(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
-def slow_packed(lengths, sizes, usual):
-    """Best fit by looking at every bin."""
+def slow_packed(lengths, sizes, opened):
+    """Best fit by looking at every bin, and at every piece to come when one is opened."""
     bins = []
-    where = []
-    for n in lengths:
-        fits = [(cap - used, -k) for k, (cap, used) in enumerate(bins) if cap - used >= n]
+    least = lambda n: min(c for c in sizes if c >= n)
+    for at, n in enumerate(lengths):
+        fits = [cap - used for cap, used in bins if cap - used >= n]
         if fits:
-            k = min(fits, key=lambda x: x[0])[0]
-            k = next(j for j, (cap, used) in enumerate(bins) if cap - used == k)
+            k = max(j for j, (cap, used) in enumerate(bins) if cap - used == min(fits))
         else:
-            bins.append((max(usual, min(c for c in sizes if c >= n)), 0))
+            options = []
+            for c in sorted(opened):
+                if c >= n:
+                    held = n
+                    for x in lengths[at + 1 :]:
+                        held += x if held + x <= c else 0
+                    options.append((Fraction(packing.cost(least(held)), held), c))
+            bins.append((min(options)[1] if options else least(n), 0))
             k = len(bins) - 1
-        where.append(k)
         bins[k] = (bins[k][0], bins[k][1] + n)
-    return [min(c for c in sizes if c >= used) for _, used in bins]
+    return [least(used) for _, used in bins]
 
 
-def test_best_fit_uses_the_fullest_bin():
+def test_best_fit_opens_the_least_cost_size():
     r = random.Random(3)
-    for _ in range(40):
+    gained = 0
+    for _ in range(60):
         lengths = sorted((r.randrange(1, 65) for _ in range(r.randrange(1, 60))), reverse=True)
-        for usual in (16, 32, 64):
-            _, _, caps = packing.packed(lengths, (16, 32, 64), usual)
-            assert sorted(caps) == sorted(slow_packed(lengths, (16, 32, 64), usual))
+        costs = {}
+        for opened in [(16,), (32,), (64,), (16, 32), (16, 64), (32, 64), (16, 32, 64)]:
+            bins, offsets, caps = packing.packed(lengths, (16, 32, 64), opened)
+            assert sorted(caps) == sorted(slow_packed(lengths, (16, 32, 64), opened))
+            assert all(sum(n for n, b in zip(lengths, bins, strict=True) if b == k) <= cap for k, cap in enumerate(caps))
+            costs[opened] = sum(map(packing.cost, caps))
         best = packing.best(lengths, (16, 32, 64))
-        assert sum(map(packing.cost, best[2])) == min(sum(map(packing.cost, packing.packed(lengths, (16, 32, 64), u)[2])) for u in (16, 32, 64))
+        assert sum(map(packing.cost, best[2])) == min(costs.values())
+        gained += min(costs.values()) < min(c for s, c in costs.items() if len(s) == 1)
+    assert gained  # mixed sizes are of use
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 1000, 4097])
