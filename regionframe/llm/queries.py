@@ -66,7 +66,7 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path, _ = shards.materialise(_table(spark, sf_dir, "documents"), key="training-order-v1", stable=True)
     out = shards.records(spark, path)
-    return out.select("slot", "doc_id", "seq", "n_tokens", F.xxhash64("ids").alias("ids_hash"), F.expr("slot DIV 8192").alias("shard"))
+    return out.select("slot", "doc_id", "seq", "n_tokens", F.xxhash64("ids").alias("ids_hash"), F.expr(f"slot DIV {shards.PER_SHARD}").alias("shard"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,11 @@ Every text becomes sequences of ``length`` token ids, the last one padded.  A
 first pass counts the sequences of each input partition, so that a second pass
 can number them 0 .. n-1 without a shuffle; a keyed Feistel permutation of the
 next power of four, walked until it falls below n, gives each its slot in
-training order.  Sequences are dealt to shards by slot range, sorted, and
-written by Spark's own committed text writer, so a lost executor leaves no
-half-written shard and any file system will do.  A record is
+training order.  Sequences are dealt to partitions by range of slots, one shard
+each, without sampling (the ranges are known), sorted, and written by Spark's own
+committed text writer, so a lost executor leaves no half-written shard and any
+file system will do.  A shard of PER_SHARD records takes 69 MB; one task holds one
+shard when it is read, which is why it is not larger.  A record is
 
     doc_id int64 | number in the text int32 | tokens used int32 | ids | 0x0A
 
@@ -38,6 +40,7 @@ from regionframe.llm.store import new_path, written
 NULL_ID = -(1 << 63)
 _HEAD = np.dtype([("doc_id", "<i8"), ("seq", "<i4"), ("used", "<i4")])
 ROUNDS = 6
+PER_SHARD = 1 << 17
 
 
 def stride(length: int, width: int = 2) -> int:
@@ -66,7 +69,7 @@ def permuted(index: np.ndarray, n: int, key: str) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def materialise(docs: DataFrame, path: str | None = None, key: str = "order", length: int = 256, per_shard: int = 8192, ranks_path: str = tokens.RANKS_PATH, id_col: str = "doc_id", text_col: str = "text", stable: bool = False) -> tuple[str, int]:
+def materialise(docs: DataFrame, path: str | None = None, key: str = "order", length: int = 256, per_shard: int = PER_SHARD, ranks_path: str = tokens.RANKS_PATH, id_col: str = "doc_id", text_col: str = "text", stable: bool = False) -> tuple[str, int]:
     """Write the shards; returns their folder and the number of sequences."""
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -118,11 +121,11 @@ def materialise(docs: DataFrame, path: str | None = None, key: str = "order", le
     path = path or new_path(spark, "shards")
     rows = src.mapInArrow(cut, "slot long, payload binary").withColumn("shard", F.expr(f"slot DIV {per_shard}"))
     shards = max(1, -(-total // per_shard))
-    rows.repartition(shards, "shard").sortWithinPartitions("shard", "slot").select(F.col("payload").cast("string").alias("value"), "shard").write.partitionBy("shard").text(path)
+    rows.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "slot").select(F.col("payload").cast("string").alias("value"), "shard").write.partitionBy("shard").text(path)
     return path, total
 
 
-def records(spark, path: str, length: int = 256, per_shard: int = 8192, first_slot: int = 0) -> DataFrame:
+def records(spark, path: str, length: int = 256, per_shard: int = PER_SHARD, first_slot: int = 0) -> DataFrame:
     """slot, doc_id, seq, n_tokens, ids of every record from ``first_slot`` on, read back from the shards."""
     size = stride(length)
 
