@@ -14,14 +14,23 @@ permuted date is a date and nothing has to be drawn twice.
 
 kind    found and checked                      what is permuted
 email   local part at a domain                 local part, to "u" and 12 digits of its keyed hash
-card    13 to 19 digits with a Luhn sum of 0   all but the first and the last; the last is set anew
+card    13 to 19 digits, whole, in fours or    all but the first and the last; the last is set anew
+        4-6-5, with a Luhn sum of 0
 iban    in one or in fours, remainder 1        digits after the fourth character; check digits set anew
 phone   international or (ddd) ddd-dddd        all digits after a leading +d
-ssn     ddd-dd-dddd, area not 0, 666, 9xx      all nine, area kept valid by permuting the last six only
+ssn     ddd-dd-dddd or with blanks; area not   the last six, walked on until group and serial are not 0
+        0, 666, 9xx, group and serial not 0
 ipv4    four octets up to 255                  the 32 bits
-date    yyyy-mm-dd, dd/mm/yyyy, dd.mm.yyyy     the day's number, 1800 to 2199
+date    yyyy-mm-dd, dd/mm/yyyy, dd.mm.yyyy,    the day's number, 1800 to 2199; where no month has that
+        mm/dd/yyyy where dd is past 12,        number in dd/mm, walked on until the day is past 12 again
+        Jan 5, 1980, 5 January 1980
 secret  32 to 64 lower-case hexadecimals       to as many of its keyed hash's
 
+To walk on is to permute again until the value is a valid one (WALK times at most;
+of random values one in 10**15 needs more, and that one stays as it is), which is
+a permutation of the valid ones.  IPv6 addresses and plain runs of ten digits, which
+nothing tells from other numbers, are not looked for.
+
 Emails and secrets are neither numbers nor dates: they turn into keyed hashes,
 equal for equal values, and different ones collide with negligible probability.
 
@@ -32,10 +41,17 @@ also of the same names as used here, pass through untouched.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+#: Most steps of a cycle walk.
+WALK = 40
+#: Names of the months as dates hold them, whole and short (fixed values).
+MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+SHORT = "Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 
 #: Possessive or bounded, and anchored to a token's start, so that a text is read in linear time.
 PATTERNS = {
@@ -43,13 +59,13 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])",
     "ipv4": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
-    "date": r"(?<![0-9A-Za-z])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?=T[0-9]{2})|(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})(?![0-9A-Za-z]))",
-    "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
+    "date": r"(?<![0-9A-Za-z])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?=T[0-9]{2})|(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4}|" + f"(?:{MONTHS}|{SHORT})" + r" [0-9]{1,2}, [0-9]{4}|[0-9]{1,2} " + f"(?:{MONTHS}|{SHORT})" + r" [0-9]{4})(?![0-9A-Za-z]))",
+    "ssn": r"(?<![0-9A-Za-z-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|(?<![0-9] )[0-9]{3} [0-9]{2} [0-9]{4}(?! [0-9]))(?![0-9A-Za-z-])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z+])\+[0-9](?:(?:[ .-]?[0-9]){7,14}(?![0-9A-Za-z])|(?:[ .-]?[0-9]){15}(?![0-9A-Za-z]))|(?<![0-9A-Za-z+-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z-])",
-    "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}(?: [0-9]{1,3})?|[0-9]{4}(?:-[0-9]{4}){3}(?:-[0-9]{1,3})?|[0-9]{4} [0-9]{6} [0-9]{4,5}|[0-9]{4}-[0-9]{6}-[0-9]{4,5})(?![0-9A-Za-z])",
 }
 KINDS = tuple(PATTERNS)
-_ANY = "|".join(PATTERNS.values()).replace("([ -])", "(?:[ -])").replace(r"\1", "[ -]")
+_ANY = "|".join(PATTERNS.values())
 #: Only texts with one of these can hold a match.
 _MAYBE = "[0-9@]|[0-9a-f]{32}"
 
@@ -84,6 +100,12 @@ def _digits(key: str, kind: str, d: str) -> str:
     return f"IF(length({d}) < 2, {d}, {_let('p', pair, f'''concat(lpad(CAST(p.a AS STRING), {h}, '0'), lpad(CAST(p.b AS STRING), length({d}) - {h}, '0'))''')})"
 
 
+def _walked(start: str, step, valid) -> str:
+    """SQL: ``start`` stepped once, and on until ``valid``; null if WALK steps don't reach it.  Both are functions of SQL."""
+    walk = f"aggregate(sequence(2, {WALK}), {step(start)}, (w, k) -> IF({valid('w')}, w, {step('w')}))"
+    return _let("w", walk, f"IF({valid('w')}, w, NULL)")
+
+
 def _refilled(form: str, digits: str) -> str:
     """SQL: ``form`` with its digits replaced, in order, by those of ``digits``."""
     step = "IF(c BETWEEN '0' AND '9', named_struct('i', s.i + 1, 'o', concat(s.o, substr(t, s.i, 1))), named_struct('i', s.i, 'o', concat(s.o, c)))"
@@ -116,15 +138,22 @@ def _replaced(key: str) -> str:
     iban = f"IF({_mod97(v)} = 1, {iban_new}, NULL)"
     country = f"regexp_extract({v}, '^[+][0-9]', 0)"
     phone = _let("d", f"regexp_replace(substr({v}, length({country}) + 1), '[^0-9]', '')", f"IF(length(d) BETWEEN 7 AND 15, concat({country}, {_refilled(f'substr({v}, length({country}) + 1)', _digits(key, 'phone', 'd'))}), NULL)")
-    ssn = f"IF(substr({v}, 1, 3) IN ('000', '666') OR substr({v}, 1, 1) = '9', NULL, concat(substr({v}, 1, 4), {_refilled(f'substr({v}, 5)', _digits(key, 'ssn', f'substr({only}, 4)'))}))"
+    whole = lambda six: f"(substr({six}, 1, 2) != '00' AND substr({six}, 3) != '0000')"
+    ssn_new = _let("n", _walked("six", lambda x: _digits(key, "ssn", x), whole), f"IF(n IS NULL, NULL, concat(substr({v}, 1, 4), {_refilled(f'substr({v}, 5)', 'n')}))")
+    ssn = _let("six", f"substr({only}, 4)", f"IF(substr({v}, 1, 3) IN ('000', '666') OR substr({v}, 1, 1) = '9' OR NOT {whole('six')}, NULL, {ssn_new})")
     octets = f"transform(split({v}, '[.]'), o -> CAST(o AS INT))"
     pair = _feistel(key, "ipv4", "q[0] * 256 + q[1]", "q[2] * 256 + q[3]", "65536", "65536")
     ipv4 = _let("q", octets, f"IF(forall(q, o -> o < 256), {_let('p', pair, '''concat_ws('.', CAST(p.a DIV 256 AS STRING), CAST(p.a % 256 AS STRING), CAST(p.b DIV 256 AS STRING), CAST(p.b % 256 AS STRING))''')}, NULL)")
-    day = f"datediff(try_to_timestamp(IF({v} LIKE '____-%', {v}, concat(substr({v}, 7, 4), '-', substr({v}, 4, 2), '-', substr({v}, 1, 2))), 'yyyy-MM-dd'), DATE'1800-01-01')"
-    pair = _feistel(key, "date", "n DIV 773", "n % 773", "189", "773")
-    moved = "date_add(DATE'1800-01-01', CAST(p.a * 773 + p.b AS INT))"
-    written = f"IF({v} LIKE '____-%', date_format({moved}, 'yyyy-MM-dd'), date_format({moved}, IF({v} LIKE '%/%', 'dd/MM/yyyy', 'dd.MM.yyyy')))"
-    date = _let("n", day, f"IF(n BETWEEN 0 AND 146096, {_let('p', pair, written)}, NULL)")
+    form = f"CASE WHEN {v} LIKE '____-%' THEN 'yyyy-MM-dd' WHEN {v} LIKE '__/%' THEN IF(CAST(substr({v}, 4, 2) AS INT) > 12, 'MM/dd/yyyy', 'dd/MM/yyyy') WHEN {v} LIKE '__.%' THEN 'dd.MM.yyyy'"
+    form += f" WHEN {v} RLIKE '^({SHORT}) ' THEN IF({v} RLIKE ' [0-9]{{2}},', 'MMM dd, yyyy', 'MMM d, yyyy') WHEN {v} RLIKE '^[A-Z]' THEN IF({v} RLIKE ' [0-9]{{2}},', 'MMMM dd, yyyy', 'MMMM d, yyyy')"
+    form += f" WHEN {v} RLIKE ' ({SHORT}) ' THEN IF({v} LIKE '__ %', 'dd MMM yyyy', 'd MMM yyyy') ELSE IF({v} LIKE '__ %', 'dd MMMM yyyy', 'd MMMM yyyy') END"
+    moved = lambda n: _let("p", _feistel(key, "date", f"({n} DIV 773)", f"({n} % 773)", "189", "773"), "CAST(p.a * 773 + p.b AS INT)")
+    of = lambda n: f"date_add(DATE'1800-01-01', {n})"
+    # what a form can't be told from another by its day's number stays among such days, so that different values stay different
+    same = lambda n: f"CASE WHEN f = 'MM/dd/yyyy' THEN day({of(n)}) > 12 WHEN f LIKE '%MMM%' AND f NOT LIKE '%dd%' THEN day({of(n)}) < 10 ELSE true END"
+    day = f"datediff(try_to_timestamp({v}, f), DATE'1800-01-01')"
+    written = _let("o", _walked("n", moved, same), f"date_format({of('o')}, f)")
+    date = _let("f", form, _let("n", day, f"IF(n BETWEEN 0 AND 146096 AND {same('n')}, {written}, NULL)"))
     each = {"email": email, "iban": iban, "secret": secret, "ipv4": ipv4, "date": date, "ssn": ssn, "phone": phone, "card": card}
     return "CASE m.k " + " ".join(f"WHEN '{k}' THEN {e}" for k, e in each.items()) + " END"
 
@@ -149,13 +178,13 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: s
 
     The secret ``key`` is any string; who knows it can invert the numbers.
     """
-    tag = F.sha2(F.lit(key), 256)  # folded to a constant; the key itself is not in the plan
     taken = set(docs.columns)
-    name = next(n for n in ("_pii", *(f"_pii{i}" for i in range(1000))) if n not in taken)
-    out = docs.withColumn(name, found(F.col(f"`{text_col}`")))
-    secret = docs.sparkSession.range(1).select(tag.alias("t")).first()["t"]
-    new = f"transform(`{name}`, m -> named_struct('k', m.k, 'v', m.v, 'w', {_replaced(f'''{chr(39)}{secret}{chr(39)}''')}))"
-    out = out.withColumn(name, F.expr(new))
+    name, held = [n for n in ("_pii", "_pii_key", *(f"_pii{i}" for i in range(1000))) if n not in taken][:2]
+    # what the numbers can be inverted with is a subquery's result: neither it nor the key is a literal of the plan that runs
+    tag = docs.sparkSession.sql("SELECT t FROM VALUES (:t) AS k(t)", args={"t": hashlib.sha256(key.encode()).hexdigest()})
+    out = docs.withColumn(name, found(F.col(f"`{text_col}`"))).withColumn(held, tag.scalar())
+    new = f"transform(`{name}`, m -> named_struct('k', m.k, 'v', m.v, 'w', {_replaced(f'`{held}`')}))"
+    out = out.withColumn(name, F.expr(new)).drop(held)
     pieces = F.split(F.col(f"`{text_col}`"), _ANY, -1)
     swapped = F.expr(f"transform(`{name}`, m -> coalesce(m.w, m.v))")
     joined = F.array_join(F.flatten(F.zip_with(pieces, F.concat(swapped, F.array(F.lit(""))), lambda p, s: F.array(p, s))), "")

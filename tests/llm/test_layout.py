@@ -235,6 +235,32 @@ def test_printed_forms(spark):
     assert [m[:2] for m in got[13]] == [("phone", "+33 12 34 56 78 90"), ("date", "2021-03-04")] and got[14] == []
 
 
+def test_more_forms(spark):
+    """Written dates, month before day, other groupings; what is walked on stays in its form and valid."""
+    whole = ["12/31/1980", "Jan 5, 1980", "January 15, 1980", "5 May 1980", "05 May 1980", "3782 822463 10005", "3782-822463-10005", "078 05 1120", "4111-1111-1111-1111"]
+    left = ["13/13/1999", "May 40, 1990", "3782 822463 10006", "123-00-6789", "123-45-0000", "666 45 1234"]
+    df = spark.createDataFrame([(k, f"at {v}; x") for k, v in enumerate(whole + left)], "doc_id long, text string")
+    got = [x["text"][3:-3] for x in pii.pseudonymise(df, "k").orderBy("doc_id").collect()]
+    assert got[len(whole) :] == left
+    for v, w in zip(whole, got, strict=False):
+        assert w != v and re.sub("[0-9]", "9", re.sub("[A-Z][a-z]+", "M", w)) == re.sub("[0-9]", "9", re.sub("[A-Z][a-z]+", "M", v))
+    assert int(got[0][3:5]) > 12 and luhn(re.sub("[^0-9]", "", got[5])) and got[5].replace(" ", "") == got[6].replace("-", "")
+    days = spark.sql("SELECT id AS doc_id, date_format(date_add(DATE'1980-01-01', CAST(id AS INT)), IF(id % 2 = 0, 'MM/dd/yyyy', 'MMMM d, yyyy')) AS text FROM range(4000)")
+    texts = [x["text"] for x in pii.pseudonymise(days, "k").collect()]
+    assert len(set(texts)) == 4000
+    ssn = spark.sql("SELECT id AS doc_id, concat('123-', lpad(id DIV 9999 + 1, 2, '0'), '-', lpad(id % 9999 + 1, 4, '0')) AS text FROM range(0, 989901, 97)")
+    texts = [x["text"] for x in pii.pseudonymise(ssn, "k").collect()]
+    assert len(set(texts)) == len(texts) and not any(x[4:6] == "00" or x[7:] == "0000" for x in texts)
+
+
+def test_the_key_is_not_in_the_plan(spark):
+    import hashlib
+
+    run = pii.pseudonymise(spark.createDataFrame([(1, "x")], "doc_id long, text string"), "a-key")._jdf.queryExecution()
+    for plan in (run.logical(), run.analyzed(), run.optimizedPlan(), run.executedPlan()):
+        assert "a-key" not in plan.toString() and hashlib.sha256(b"a-key").hexdigest() not in plan.toString()
+
+
 def test_dates_and_numbers_are_permuted(spark):
     """Different values stay different, and dates stay dates."""
     dates = spark.sql("SELECT id AS doc_id, date_format(date_add(DATE'1990-01-01', CAST(id AS INT)), 'yyyy-MM-dd') AS text FROM range(3000)")
