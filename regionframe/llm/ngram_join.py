@@ -52,6 +52,8 @@ BLOCK = 1 << 16
 LEVELS = 8
 #: Cost of verifying a candidate, in postings scanned.
 VERIFY_COST = 60.0
+#: A class with more than this part of all rows is large.
+LARGE = 1000
 
 _SEEN = "doc_id long, n long, d1 long, d2 long, block int, counts binary"
 _PREFIX = "doc_id long, n long, d1 long, d2 long, toks array<long>, b0 long, b1 long, b2 long, b3 long"
@@ -87,24 +89,46 @@ def _seen(width: int):
                 np.add.at(counts, (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
                 yield (doc, len(h), *_digest(h), None, None)
             for k in range(0, len(counts), BLOCK):
-                at = np.flatnonzero(counts[k : k + BLOCK]).astype(np.uint16)
-                if len(at):
-                    yield None, None, None, None, k // BLOCK, at.tobytes() + counts[k : k + BLOCK][at].tobytes()
+                if counts[k : k + BLOCK].any():
+                    yield None, None, None, None, k // BLOCK, _sparse(counts[k : k + BLOCK])
 
         yield from batched(rows(), _SEEN_A)
 
     return run
 
 
-def _added(pdf):
-    import pandas as pd
+def _added(last: bool):
+    """Adds up the counts of each block, one row after the other: a task holds one sum for each of its blocks."""
 
-    total = np.zeros(BLOCK, np.int64)
-    for b in pdf["counts"]:
-        n = len(b) // 6
-        total[np.frombuffer(b, np.uint16, n)] += np.frombuffer(b, np.uint32, n, 2 * n)
-    level = np.minimum(255, np.round(5 * np.log2(1 + total))).astype(np.uint8)
-    return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "levels": [level.tobytes()]})
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for block, counts in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                raw = counts.as_buffer()
+                n = raw.size // 10
+                sums = total.setdefault(block, np.zeros(BLOCK, np.int64))
+                sums[np.frombuffer(raw, np.uint16, n)] += np.frombuffer(raw, np.int64, n, 2 * n)
+        for block, sums in total.items():
+            out = np.minimum(255, np.round(5 * np.log2(1 + sums))).astype(np.uint8).tobytes() if last else _sparse(sums)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([out], pa.binary())], names=["block", "counts"])
+
+    return run
+
+
+def _sparse(counts: np.ndarray) -> bytes:
+    at = np.flatnonzero(counts)
+    return at.astype(np.uint16).tobytes() + counts[at].astype(np.int64).tobytes()
+
+
+def _levels(seen: DataFrame) -> bytes:
+    """The histogram's logarithms.  Counts of many partitions are added in two steps, so that no task reads those of all."""
+    blocks = (1 << SKETCH_BITS) // BLOCK
+    counts = seen.filter("block IS NOT NULL").select("block", "counts", F.pmod(F.xxhash64("counts"), F.lit(64)).alias("part"))
+    some = counts.repartition("block", "part").select("block", "counts").mapInArrow(_added(False), "block int, counts binary")
+    sketch = bytearray(1 << SKETCH_BITS)
+    for r in some.repartition(blocks, "block").mapInArrow(_added(True), "block int, counts binary").collect():
+        sketch[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = r["counts"]
+    return bytes(sketch)
 
 
 def _prefixes(width: int, num: int, den: int, sketch):
@@ -160,11 +184,8 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     differ = F.min(F.struct("d1", "d2")) != F.max(F.struct("d1", "d2"))
     if rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(differ.alias("several")).filter("several").limit(1).count():
         return _of_several(src, num, den, width)
-    classes = rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    sketch = bytearray(1 << SKETCH_BITS)
-    for r in seen.filter("block IS NOT NULL").select("block", "counts").groupBy("block").applyInPandas(_added, "block int, levels binary").collect():
-        sketch[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = r["levels"]
-    held = spark.sparkContext.broadcast(bytes(sketch))
+    classes = written(rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows")), "classes")
+    held = spark.sparkContext.broadcast(_levels(seen))
 
     found = src.mapInArrow(_prefixes(width, num, den, held), _PREFIX)
     reps = classes.select(F.col("rep").alias("doc_id"), "d1", "d2").filter("doc_id IS NOT NULL")
@@ -174,7 +195,6 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     shared = posted.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     items = posted.join(shared, "tok").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("i", "tok", "df"))).alias("items"))
     posts = written(_chosen(items, num, den).join(prefix.select("doc_id", "n", "b0", "b1", "b2", "b3"), ["doc_id", "n"]), "posts")
-    out = rows.join(classes.select("d1", "d2", "rep"), ["d1", "d2"], "left")
 
     stars = components(_verified(_pivot_pairs(posts, num, den), src, width, num, den))
     posts = written(posts.join(stars.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")), "posts")
@@ -182,11 +202,16 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     links = across.join(stars.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(stars.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     merged = components(links)
     found = stars.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "full")
-    final = written(found.select(F.explode(F.array_distinct(F.array(F.coalesce("node", "comp"), F.col("comp")))).alias("rep"), F.coalesce("top", "comp").alias("comp")).distinct(), "final")
-    return out.join(final, "rep", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.coalesce("comp", "rep")).otherwise(F.col("doc_id")).alias("component_id"),
-    )
+    final = found.select(F.explode(F.array_distinct(F.array(F.coalesce("node", "comp"), F.col("comp")))).alias("rep"), F.coalesce("top", "comp").alias("comp")).distinct()
+    named = written(classes.join(final, "rep", "left").select("d1", "d2", "rows", F.coalesce("comp", "rep").alias("component_id")), "named")
+    # rows of the few largest classes, of which there are less than LARGE, find theirs without a shuffle; so no class meets in one task
+    total = rows.count()
+    large = named.filter(F.col("rows") * LARGE > total).select("d1", "d2", F.struct("component_id").alias("hit"))
+    near = rows.filter("n > 0").join(F.broadcast(large), ["d1", "d2"], "left")
+    alike = near.filter("hit IS NOT NULL").select("doc_id", "n", "hit.component_id")
+    other = near.filter("hit IS NULL").join(named.filter(F.col("rows") * LARGE <= total), ["d1", "d2"]).select("doc_id", "n", "component_id")
+    empty = rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return alike.unionByName(other).unionByName(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def _of_several(src: DataFrame, num: int, den: int, width: int) -> DataFrame:
