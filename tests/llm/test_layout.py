@@ -309,6 +309,47 @@ def test_pipeline(spark):
     assert {x["doc_id"] for x in packed.collect()} == ids
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_pipeline_stages_against_plain_ones(spark):
+    """What each stage keeps and returns, decided text by text or by looking at all pairs."""
+    import corpus_pipeline as p
+    from test_joins import brute
+    from test_scores import best_set, plain_score
+
+    from regionframe.llm import langid, toxicity
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [tuple(x) for x in docs.select(*p.COLUMNS).collect()]
+    got = {x["doc_id"] for x in p.language(spark, docs, SF).collect()}
+    model = langid.fit(docs.filter(langid.fold(F.col("doc_id"), 5) != 0))
+    for d, text, *_ in rows[::9]:
+        letters = any(c.isalpha() for c in text or "")
+        assert (d in got) == (letters and best_set(text, model, 3.0)[1].max() >= p.LEAST_SHARE), d
+
+    got = {x["doc_id"] for x in p.toxic(spark, docs, SF).collect()}
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.fit(docs.filter(langid.fold(F.col("doc_id"), 3) != 1).join(labels, "doc_id"))
+    short = [x for x in rows if len(x[1] or "") < 1500]
+    assert len(short) > 20
+    for d, text, *_ in short[::5]:
+        assert (d in got) == (plain_score(text, model) < p.TOXIC), d
+
+    got = sorted(x["doc_id"] for x in p.near_copies(spark, docs, SF).collect())
+    assert got == sorted(d for d, _, c in brute([x[:2] for x in rows], 80, 100, 5) if c == d)
+
+    found = {x["doc_id"]: x["text"] for x in p.pseudonyms(spark, docs, SF).collect()}
+    assert len(found) == len(rows)
+    for d, text, *_ in rows:
+        if not re.search("[0-9@]|[0-9a-f]{32}", text or ""):
+            assert found[d] == text
+
+    bpe = tokens.Bpe(open(tokens.RANKS_PATH, "rb").read())
+    placed = {}
+    for x in p.packed(spark, docs, SF).collect():
+        placed.setdefault(x["doc_id"], []).append(x["n_tokens"])
+    assert {d: sum(n) for d, n in placed.items()} == {d: bpe.count(text) for d, text, *_ in rows}
+
+
 def test_pipeline_cases(spark, tmp_path):
     import corpus_pipeline as p
 

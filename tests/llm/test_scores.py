@@ -196,6 +196,60 @@ def test_toxicity_is_held_out(spark):
     assert toxicity.score(spark.createDataFrame([], "doc_id long, text string"), m).count() == 0
 
 
+def plain_score(text, m):
+    """The score by its definition: kernel values letter by letter, whitened, and the logistic fit."""
+    import math
+
+    def margin(word):
+        return float(np.array([kernel(word, w) for w in m.words]) @ m.whiten @ m.weight) + m.bias
+
+    tokens = (text or "").split()
+    margins = [max((margin(u) for u in toxicity.units(t)), default=m.bias) for t in set(tokens)]
+    if sum(len(t) <= 3 for t in tokens) >= 3:
+        margins += [margin(u) for u in toxicity.spelled(tokens)]
+    top = sorted((max(x, m.bias) for x in margins), reverse=True)[:3]
+    z = np.array([*top, *[m.bias] * (3 - len(top)), math.log1p(len(tokens)), 1.0]) @ m.fit
+    return 1 / (1 + math.exp(-min(40, max(-40, z))))
+
+
+def test_score_equals_its_definition():
+    m = toxicity.train([(t, y) for _, t, y in texts(90, 3)], landmarks=12)
+    cases = [t for _, t, _ in texts(8, 4)] + ["you i d i o t there", "the i.d.i.o.t", "an idxiot", "x" * 40, "", None, "nananana " * 5]
+    assert toxicity.Scorer(m).score(cases) == pytest.approx([plain_score(t, m) for t in cases], abs=1e-3)
+
+
+def test_labelled_texts_are_read_whole(spark):
+    """The only insults stand behind thousands of letters."""
+    r = random.Random(12)
+    plain = lambda n: " ".join("".join(r.choices("aehnorst", k=r.randrange(2, 7))) for _ in range(n))
+    rows = [(k, plain(2500) + (" you absolute idiot" if k % 2 else ""), k % 2) for k in range(60)]
+    assert min(len(t) for _, t, _ in rows) > 10_000
+    m = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    got = toxicity.Scorer(m).score([plain(2500) + " what an idiot", plain(2500)])
+    assert got[0] > 0.5 > got[1]
+
+
+def test_tokens_are_forgotten_within_bounds():
+    m = toxicity.train([(t, y) for _, t, y in texts(60, 3)], landmarks=12)
+    s = toxicity.Scorer(m)
+    s.LIMIT = 20_000
+    r = random.Random(5)
+    for _ in range(50):
+        s.score(["".join(r.choices("abcde", k=9)) for _ in range(30)])
+        assert s.used <= 17_000 and len(s.known) + len(s.older) <= 140  # a half of the limit and one call, twice
+    fresh = toxicity.Scorer(m)
+    assert s.score(["you idiot", "aero"]) == pytest.approx(fresh.score(["you idiot", "aero"]))
+
+
+def test_names_that_carry_cannot_have(spark):
+    df = spark.createDataFrame([(1, "a", 0.5)], "doc_id long, text string, score double")
+    m = toxicity.train([])
+    with pytest.raises(ValueError):
+        toxicity.score(df, m, carry=("score",))
+    with pytest.raises(ValueError):
+        langid.predict(df, langid.LanguageModel((), np.zeros((0, 1 << langid.BITS))), carry=("score",))
+
+
 def test_scores_do_not_follow_the_sample(spark):
     """One text in ten is toxic, and half of those have no insult: the others' scores show the true share at every bound."""
     r = random.Random(6)
@@ -253,6 +307,64 @@ def test_rules_learn_and_agree_with_spark(spark):
     assert (rules.first(got[list(quality.FEATURES)].to_numpy(float)) == got["rule"].to_numpy()).all()
 
 
+def test_first_test_has_the_highest_gain():
+    """Against every threshold between two values, of every statistic, in both directions."""
+    import math
+
+    for seed in range(6):
+        r = np.random.default_rng(seed)
+        x = r.integers(0, 12, (80, len(quality.FEATURES))).astype(float)
+        y = (x[:, seed % 6] > 7) ^ (r.random(80) < 0.2)
+        (name, above, limit), *_ = quality._grown(x, y, 1, 64)
+
+        def gain(j, limit, above):
+            hit = x[:, j] >= limit if above else x[:, j] < limit
+            p, n = y[hit].sum(), hit.sum()
+            return p * (math.log2(p / n) - math.log2(y.mean())) if p else 0.0
+
+        every = [gain(j, v + 0.5, above) for j in range(x.shape[1]) for v in range(12) for above in (True, False)]
+        assert gain(list(quality.FEATURES).index(name), limit, above) == pytest.approx(max(every))
+
+
+def plain_learn(x, y, precision=0.8, least=4, longest=4, rules=12, limits=64):
+    """Sequential covering row by row: masks over all rows instead of shrinking tables."""
+    n = len(x)
+    grow, prune, left, out = np.arange(n) % 3 != 2, np.arange(n) % 3 == 2, np.ones(n, bool), []
+    bad = y == 0
+    while len(out) < rules:
+        g = grow & left
+        if bad[g].sum() < least or bad[g].all() or not (tests := quality._grown(x[g], bad[g], longest, limits)):
+            break
+        best = None
+        while True:
+            hit = [k for k in range(n) if prune[k] and left[k] and quality.Rule(tuple(tests)).covers(x[k : k + 1])[0]]
+            right = sum(bad[k] for k in hit)
+            value = (2 * right - len(hit)) / len(hit) if hit else -1.0
+            if best is None or value >= best[0]:
+                best = value, list(tests), hit
+            else:
+                break
+            if len(tests) == 1:
+                break
+            tests = tests[:-1]
+        rule = quality.Rule(tuple(best[1]))
+        covered = [k for k in range(n) if left[k] and rule.covers(x[k : k + 1])[0]]
+        right, held = sum(bad[k] for k in covered), [k for k in covered if prune[k]]
+        if len(covered) < least or right < precision * len(covered) or held and sum(bad[k] for k in held) < precision * len(held):
+            break
+        out.append(rule)
+        left[covered] = False
+    return tuple(out)
+
+
+def test_learned_list_equals_a_plain_one():
+    for seed in range(5):
+        r = np.random.default_rng(seed)
+        x = np.c_[r.integers(0, 40, (240, 3)), r.random((240, 3)).round(2)].astype(float)
+        y = (~((x[:, 0] > 28) | (x[:, 4] > 0.8) & (x[:, 1] < 20)) ^ (r.random(240) < 0.05)).astype(int)
+        assert quality.learn(x, y).rules == plain_learn(x, y)
+
+
 def test_quality_cases(spark):
     docs = spark.createDataFrame([(1, "w " * 60, 5), (2, None, 5), (None, "a b c", 5), (2, None, 5)], "doc_id long, text string, n_words long")
     stats = quality.statistics(docs)
