@@ -1,18 +1,47 @@
 """Expressions over regions and over metadata.
 
 A node is a tuple: ('num', x), ('str', s), ('null', type), ('field', name),
-('coord', name), ('meta', attribute, type), ('neg', e), ('sqrt', e) or
-(op, a, b) with op one of + - * /.
+('coord', name), ('meta', attribute, type), ('neg', e), ('sqrt', e),
+('call', name, e, ...) of a registered function, or (op, a, b) with op one of
++ - * /.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from regionframe.functions.text import as_number
 from regionframe.model import COORDINATES, Dataset, c
 
+#: Functions that users add: name -> (function of Columns, kinds of its arguments, kind of its result).
+_FUNCTIONS: dict[str, tuple[Callable[..., Column], tuple[str, ...], str]] = {}
+
+
+def register(name: str, make: Callable[..., Column], takes: tuple[str, ...] = ("double",), gives: str = "double") -> None:
+    """Makes ``name`` a function of region expressions, in the API as ('call', name, e, ...) and in scripts as name(e, ...)."""
+    if name.upper() in ("SQRT", "NULL", "META"):
+        raise ValueError(f"{name} is built in")
+    if not set(takes) | {gives} <= {"double", "string"}:
+        raise ValueError("kinds are double and string")
+    _FUNCTIONS[name.upper()] = (make, tuple(takes), gives)
+
+
+def registered(name: str) -> bool:
+    return name.upper() in _FUNCTIONS
+
+
+def _function(e, kinds: list[str]):
+    if not registered(e[1]):
+        raise ValueError(f"no function {e[1]}; there are {', '.join(_FUNCTIONS) or 'none'}")
+    make, takes, gives = _FUNCTIONS[e[1].upper()]
+    if list(takes) != kinds:
+        raise ValueError(f"{e[1]} takes ({', '.join(takes)}), not ({', '.join(kinds)})")
+    return make, gives
+
+
 #: What a metadata expression gives where an operand is no number.
 NOT_A_NUMBER = "could not parse"
 
@@ -49,6 +78,8 @@ def region_kind(e, ds: Dataset) -> str:
         return "string" if e[1] in ("chr", "chrom", "strand") else "double"
     if head == "str":
         return "string"
+    if head == "call":
+        return _function(e, [region_kind(x, ds) for x in e[2:]])[1]
     if head in ("meta", "null"):
         return "string" if e[-1].upper() in ("STRING", "CHAR") else "double"
     return "double"
@@ -79,6 +110,9 @@ def _region(e, ds: Dataset, flips: bool) -> Column:
     if head == "meta":
         x = c(meta_name(e[1]))
         return x if e[2].upper() in ("STRING", "CHAR") else as_number(x)
+    if head == "call":
+        make, gives = _function(e, [region_kind(x, ds) for x in e[2:]])
+        return make(*(_region(x, ds, flips) for x in e[2:])).cast(gives)
     if region_kind(e[1], ds) == "string" or len(e) > 2 and region_kind(e[2], ds) == "string":
         raise ValueError("arithmetic needs numbers")
     a = _region(e[1], ds, flips)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regionframe.functions import aggregates, expressions
 from regionframe.functions.aggregates import Agg
 from regionframe.lang.script import Script
 from regionframe.model import Dataset, c
@@ -310,6 +311,23 @@ def difference_joinby(spark, d):
     return left_of(x.difference(y, joinby=["group"], bin_size=BIN).regions, spark)
 
 
+# functions that a user adds
+
+aggregates.register("SPREAD", lambda x: F.max(x) - F.min(x))
+expressions.register("PART_OF", lambda a, b: F.try_divide(a, a + b), ("double", "double"))
+
+
+@query("custom_aggregate", f"SELECT {COORD}, linestatus, round(max(score) - min(score), 2) AS spread FROM li GROUP BY sid, chrom, l, r, s, linestatus")
+def custom_aggregate(spark, d):
+    return rounded(items(spark, d).group(region_keys=["linestatus"], region_aggregates=[Agg("SPREAD", "score", "spread")]).regions)
+
+
+@query("custom_function", f"SELECT {COORD}, round(discount / (discount + tax), 6) AS part FROM li")
+def custom_function(spark, d):
+    text = "A = SELECT() E; R = PROJECT(region_update: part AS PART_OF(discount, tax)) A; MATERIALIZE R INTO r;"
+    return rounded(Script({"E": items(spark, d)}).run(text)["r"].project(["part"]).regions, 6)
+
+
 # MAP
 
 
@@ -330,6 +348,14 @@ def map_aggregates(spark, d):
     return rounded(lineage(x.project(()).map(y, aggs, ["group"], "n", bin_size=BIN).regions, spark))
 
 
+@query("map_one_partner", f""", x AS (SELECT DISTINCT sid, chrom, l, r, s FROM ev_e), k AS (SELECT a.sid, a.chrom, a.l, a.r, a.s, count(*) AS n, max(b.tax) AS hi FROM ev_e a JOIN od b ON b.sid = a.sid + 1 AND {_LAP} GROUP BY ALL)
+SELECT x.sid AS ref_id, x.sid + 1 AS exp_id, x.chrom, x.l AS "left", x.r AS "right", x.s AS strand, CAST(coalesce(n, 0) AS DOUBLE) AS n, hi FROM x LEFT JOIN k ON k.sid = x.sid AND k.chrom = x.chrom AND k.l = x.l AND k.r = x.r AND k.s = x.s""")
+def map_one_partner(spark, d):
+    one = lambda ds: ds.with_meta(ds.meta.select("sample_id", F.lit("couple").alias("attribute"), F.expr("CAST(sample_id DIV 2 AS STRING)").alias("value")).distinct())
+    x, y = map(one, eo(spark, d))
+    return lineage(x.project(()).map(y, [Agg("MAX", "tax", "hi")], ["couple"], "n", bin_size=BIN).regions, spark)
+
+
 @query("map_bag", f""", k AS (SELECT a.sid, a.chrom, a.l, a.r, a.s, b.sid AS j, string_agg(b.linestatus, ',' ORDER BY b.linestatus) AS bag, round(avg(b.discount), 4) AS mean FROM ev_e a JOIN od b ON {_LAP} GROUP BY ALL)
 SELECT sid AS ref_id, j AS exp_id, chrom, l AS "left", r AS "right", s AS strand, bag, mean FROM k""")
 def map_bag(spark, d):

@@ -71,3 +71,33 @@ def test_parts():
     assert g.whole("ALL / 2, (ALL + 1) / 3", g.bounds) == (("ALL/", 2), ("ALL+", 1, 3))
     assert g.whole("a == 1 OR b == 2 AND c == 3", g.meta_condition)[0] == "or"
     assert g.statements("A = SELECT(x == 'a;b)c') D; MATERIALIZE A INTO 'p/q';")[1].path == "p/q"
+
+
+def test_functions_that_a_user_adds(spark):
+    from pyspark.sql import functions as F
+
+    from regionframe.functions import aggregates, expressions
+    from regionframe.functions.aggregates import Agg
+    from regionframe.lang.tokens import ScriptError
+    from regionframe.model import Dataset
+
+    aggregates.register("PRODUCT_OF", lambda x: F.product(x))
+    aggregates.register("SHORTEST", lambda x: F.min_by(x, F.length(x)), takes="string", gives="string")
+    expressions.register("POWER_OF", F.pow, ("double", "double"))
+    rows = [(1, "c", 0, 9, "+", 2.0, "aa"), (1, "c", 0, 9, "+", 3.0, "b"), (1, "c", 20, 30, "+", 5.0, "ccc")]
+    ds = Dataset.of(spark.createDataFrame(rows, "sample_id long, chrom string, left long, right long, strand string, x double, t string"), spark.createDataFrame([(1, "k", "2"), (1, "k", "4")], "sample_id long, attribute string, value string"), "D")
+    run = lambda text: Script({"D": ds}).run("A = SELECT() D; " + text + " MATERIALIZE B INTO b;")["b"]
+    grouped = run("B = GROUP(region_aggregates: p AS PRODUCT_OF(x), s AS SHORTEST(t)) A;")
+    assert sorted(tuple(r)[2:] for r in grouped.regions.collect()) == [(0, 9, "+", 6.0, "b"), (20, 30, "+", 5.0, "ccc")]
+    powers = run("B = PROJECT(region_update: y AS POWER_OF(x, 2) + 1) A;")
+    assert sorted(r["y"] for r in powers.regions.collect()) == [5.0, 10.0, 26.0]
+    assert ("p", "30") in {(r["attribute"], r["value"]) for r in run("B = EXTEND(p AS PRODUCT_OF(x)) A;").meta.collect()}
+    mapped = run("B = MAP(p AS PRODUCT_OF(x)) A A;")
+    assert sorted((r["left"], r["p"]) for r in mapped.regions.collect()) == [(0, 6.0), (0, 6.0), (20, 5.0)]
+    meta = ds.group("k", meta_aggregates=[Agg("PRODUCT_OF", "k", "p")])
+    assert ("p", "8") in {(r["attribute"], r["value"]) for r in meta.meta.collect()}
+    for text in ("B = GROUP(region_aggregates: p AS PRODUCT_OF(t)) A;", "B = GROUP(region_aggregates: p AS NOTHING(x)) A;", "B = PROJECT(region_update: y AS POWER_OF(x)) A;"):
+        with pytest.raises(ScriptError):
+            run(text)
+    with pytest.raises(ValueError):
+        aggregates.register("SUM", F.sum)
