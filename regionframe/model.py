@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -25,12 +26,14 @@ class Dataset:
     """regions: FIXED columns, then attributes (DOUBLE or STRING); meta: sample_id, attribute, value.
 
     Coordinates are 0-based and half-open.  ``name`` prefixes attributes and
-    metadata where two datasets meet.
+    metadata where two datasets meet.  ``opened``, where regions are files by sample,
+    gives the regions of some samples (a frame of their ids) without reading other files.
     """
 
     regions: DataFrame
     meta: DataFrame
     name: str | None = None
+    opened: Callable[[DataFrame], DataFrame | None] | None = None
 
     @staticmethod
     def of(regions: DataFrame, meta: DataFrame, name: str | None = None) -> Dataset:
@@ -87,7 +90,7 @@ class Dataset:
         return replace(self, name=name)
 
     def with_regions(self, regions: DataFrame) -> Dataset:
-        return replace(self, regions=regions)
+        return replace(self, regions=regions, opened=None)
 
     def with_meta(self, meta: DataFrame) -> Dataset:
         return replace(self, meta=meta)

@@ -14,6 +14,8 @@ def select(ds: Dataset, meta=None, region=None, semijoin=None) -> Dataset:
     """``meta`` and ``region`` are predicates; ``semijoin`` is (attributes, dataset, negated).
 
     With a region condition, samples that keep no region lose their metadata.
+    Where the dataset is a folder of region files, a condition on metadata is
+    looked up at once, so that the other samples' files are never opened.
     """
     pairs, regions = ds.meta, ds.regions
     if meta is not None:
@@ -23,7 +25,10 @@ def select(ds: Dataset, meta=None, region=None, semijoin=None) -> Dataset:
         by, other, negated = semijoin
         pairs = pairs.join(shared(pairs, other.meta, by, negated), "sample_id", "left_semi")
     if meta is not None or semijoin is not None:
-        regions = regions.join(pairs.select("sample_id").distinct(), "sample_id", "left_semi")
+        ids = pairs.select("sample_id").distinct()
+        # of a folder of files only those of the chosen samples are opened
+        some = ds.opened(ids) if ds.opened else None
+        regions = regions.join(ids, "sample_id", "left_semi") if some is None else some
     if region is not None:
         full = with_metas(ds.with_regions(regions), region_metas(region))
         kept = [F.col("`" + x.replace("`", "``") + "`") for x in ds.regions.columns]

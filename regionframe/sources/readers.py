@@ -8,7 +8,8 @@ be in any file system that Spark reads.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,8 @@ PARSERS = {
     "rnaseq": _p(3, (4, "name", "STRING"), (5, "score", "DOUBLE")),
     "bedscore": _p(None, (3, "score", "DOUBLE")),
 }
+#: Files that are opened by name; where more samples are chosen the folder is scanned.
+MOST_OPENED = 10_000
 #: Other names that scripts use for these layouts.
 _ALIASES = {"bedtabseparatedparser": "bed", "bedparser": "bed", "annparser": "ann", "broadprojparser": "broadproj", "basicparser": "basic", "broadpeaksparser": "broadpeaks", "narrowpeakparser": "narrowpeak", "rnaseqparser": "rnaseq", "bedscoreparser": "bedscore"}
 _CHROM, _START, _STOP, _STRAND = ("CHROM", "CHROMOSOME", "CHR"), ("START", "LEFT"), ("STOP", "RIGHT", "END"), ("STR", "STRAND")
@@ -127,8 +130,6 @@ def lines(raw: DataFrame, parser: Parser, line: str = "value", strict: bool = Fa
 
 
 def _literal(name: str) -> str:
-    import re
-
     return re.escape(name)
 
 
@@ -139,8 +140,13 @@ def pairs(raw: DataFrame, line: str = "value") -> DataFrame:
     return raw.filter(F.size(f) == 2).select(*kept, F.trim(F.get(f, F.lit(0))).alias("attribute"), F.trim(F.get(f, F.lit(1))).alias("value"))
 
 
+def _path() -> Column:
+    """A line's file; Spark gives it as a URI, in which a plus sign is not encoded."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("__path"))
+    return spark.read.option("recursiveFileLookup", True).text(path).select("value", _path().alias("__path"))
 
 
 def file_text(spark: SparkSession, path: str) -> str:
@@ -149,6 +155,26 @@ def file_text(spark: SparkSession, path: str) -> str:
     return rows[0]["value"]
 
 
+def _file_system(spark: SparkSession, path: str):
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath, jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jpath, fs = _file_system(spark, path)
+    return fs.exists(jpath)
+
+
+def _has_meta(spark: SparkSession, path: str) -> bool:
+    """Whether a folder or one below it has a metadata file; it stops at the first."""
+    jpath, fs = _file_system(spark, path)
+    found = fs.listFiles(jpath, True)
+    while found.hasNext():
+        if found.next().getPath().getName().endswith(".meta"):
+            return True
+    return False
+
+
 def dataset_schema(spark: SparkSession, path: str) -> Schema:
     for name in ("schema.xml", "test.schema"):
         try:
@@ -163,9 +189,16 @@ def read(spark: SparkSession, path: str, parser: Parser | str | None = None, str
     """The dataset in a folder: files with a ``.meta`` sibling are its samples.
 
     ``parser`` is a layout or its name; without one the folder's schema file decides.
+    A folder stored by writers.write_text is read as that; one without any ``.meta`` file is an error.
     """
+    from regionframe.sources.writers import read_text
+
     if isinstance(parser, str):
         parser = parser_named(parser)
+    if _exists(spark, f"{path}/meta") and _exists(spark, f"{path}/files") and parser is None:
+        return read_text(spark, path, name)
+    if not _has_meta(spark, path):
+        raise ValueError(f"{path} has no .meta file, so no sample; read_file reads region files without metadata")
     parser = parser or parser_of(dataset_schema(spark, path))
     raw = _files(spark, path)
     key = F.regexp_extract(F.col("__path"), r"([^/]+?)(?:\.meta)?$", 1)
@@ -174,7 +207,19 @@ def read(spark: SparkSession, path: str, parser: Parser | str | None = None, str
     # every sibling is listed once; its own lines need not be read to know that it is there
     siblings = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.meta").load(path).select(F.xxhash64(F.regexp_extract("path", r"([^/]+?)\.meta$", 1)).alias("sample_id"))
     data = lines(raw.filter(~is_meta).withColumn("sample_id", F.xxhash64(key)).drop("__path"), parser, strict=strict)
-    return Dataset.of(data.join(siblings, "sample_id", "left_semi"), meta, name)
+    whole = Dataset.of(data.join(siblings, "sample_id", "left_semi"), meta, name)
+
+    def opened(ids: DataFrame) -> DataFrame | None:
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.meta").load(path).select("path")
+        listed = listed.withColumn("sample_id", F.xxhash64(F.regexp_extract("path", r"([^/]+?)\.meta$", 1)))
+        chosen = [r["path"][: -len(".meta")] for r in listed.join(ids, "sample_id", "left_semi").select("path").limit(MOST_OPENED + 1).collect()]
+        if not chosen or len(chosen) > MOST_OPENED:
+            return None
+        # a glob takes names with signs of its own by the letter
+        some = spark.read.text([re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in chosen]).select("value", F.xxhash64(F.regexp_extract(_path(), "([^/]+)$", 1)).alias("sample_id"))
+        return Dataset.of(lines(some, parser, strict=strict), meta, name).regions
+
+    return replace(whole, opened=opened)
 
 
 def read_file(spark: SparkSession, path: str, parser: Parser | str = "bed", name: str | None = None) -> Dataset:

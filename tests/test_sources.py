@@ -138,3 +138,36 @@ def test_cli(spark, tmp_path):
     put(tmp_path, "s.txt", "A = SELECT(region: score > 1) D;\nMATERIALIZE A INTO kept;\n")
     assert cli.main([str(tmp_path / "s.txt"), "--data", f"{tmp_path}/data", "--out", f"{tmp_path}/out"]) == 0
     assert readers.read_parquet(spark, f"{tmp_path}/out/kept").regions.count() == 1
+
+
+def test_only_chosen_samples_are_opened(spark, folder):
+    put(folder, "we[i r]+d%20.bed", "chr3\t1\t2\t+\tx\t5\n")
+    put(folder, "we[i r]+d%20.bed.meta", "cell\th7\n")
+    ds = readers.read(spark, str(folder))
+    opened = lambda x: sorted(f.rsplit("/", 1)[1] for f in x.regions.inputFiles() if not f.endswith((".meta", ".xml")))
+    one = ds.select(("cmp", "cell", "==", "K562"))
+    assert opened(one) == ["one.bed"] and len(opened(ds)) > 1
+    assert sorted(regions(one), key=repr) == sorted([("chr1", 5096, 5451, "+", "geneC", 0.765), ("chr1", 10, 20, "*", "null", None)], key=repr)
+    weird = ds.select(("cmp", "cell", "==", "h7"), ("cmp", ("field", "score"), ">", 1))
+    assert regions(weird) == [("chr3", 1, 2, "+", "x", 5.0)] and weird.meta.count() == 1
+    assert regions(ds.select(("cmp", "cell", "==", "none"))) == []
+    other = ds.select(("cmp", "cell", "==", "h1"))
+    assert opened(ds.select(semijoin=(["cell"], other, False))) == ["two.bed"]
+    # the choice holds the same rows as a scan of everything
+    both = ("or", ("cmp", "cell", "==", "h1"), ("cmp", "cell", "==", "h7"))
+    from dataclasses import replace
+
+    assert sorted(ds.select(both).regions.collect(), key=repr) == sorted(replace(ds, opened=None).select(both).regions.collect(), key=repr)
+
+
+def test_written_text_is_read_as_a_folder(spark, folder, tmp_path):
+    ds = readers.read(spark, str(folder))
+    for kind in ("tab", "gtf"):
+        writers.write_text(ds, f"{tmp_path}/{kind}", kind)
+        back = readers.read(spark, f"{tmp_path}/{kind}")
+        assert sorted(r[1:4] for r in map(tuple, back.regions.collect())) == sorted(r[1:4] for r in map(tuple, ds.regions.collect()))
+        assert sorted(map(tuple, back.meta.collect())) == sorted(map(tuple, ds.meta.collect()))
+        assert back.select(("cmp", "cell", "==", "h1")).regions.count() == 1
+    put(tmp_path / "bare", "x.bed", "chr1\t1\t2\n")
+    with pytest.raises(ValueError, match="no .meta file"):
+        readers.read(spark, f"{tmp_path}/bare", "basic")
