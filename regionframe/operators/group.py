@@ -70,9 +70,9 @@ def _numbered(ds: Dataset, key, aggs: list[A.Agg], name: str):
             columns.append(F.count_distinct("sample_id").cast("double").alias(f"__{k}"))
         else:
             mine = F.col("attribute") == a.field
-            text = fn in ("BAG", "BAGD")
+            text = fn in ("BAG", "BAGD") or A.takes_text(a)
             columns.append(A.column(a, "string" if text else "double", F.when(mine, F.col("value") if text else as_number(F.col("value"))), mine).alias(f"__{k}"))
-        made.append(F.struct(F.lit(a.output).alias("attribute"), as_text(F.col(f"__{k}"), "string" if fn in ("BAG", "BAGD") else "double").alias("value")))
+        made.append(F.struct(F.lit(a.output).alias("attribute"), as_text(F.col(f"__{k}"), "string" if A.is_text(a, "double") else "double").alias("value")))
     per = rows.groupBy("__g").agg(*columns)
     new = of.join(per, "__g").select("sample_id", F.explode(F.array(*made)).alias("x")).select("sample_id", "x.attribute", "x.value")
     return out.unionByName(new)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from regionframe.functions import aggregates as A
 from regionframe.model import FIXED, Dataset, c
 from regionframe.plans import ranges
-from regionframe.plans.metajoin import combined_meta, pairs
+from regionframe.plans.metajoin import combined_meta, pairs, partnered
 
 
 def map_overlaps(left: Dataset, right: Dataset, aggs: list[A.Agg] | None = None, joinby=None, count_name: str | None = None, left_name: str | None = None, right_name: str | None = None, bin_size: int = ranges.BIN) -> Dataset:
@@ -15,7 +15,9 @@ def map_overlaps(left: Dataset, right: Dataset, aggs: list[A.Agg] | None = None,
 
     Regions without a match stay, with a count of 0.  Equal left regions become
     one whose counts add up.  Matches and the regions themselves meet in one
-    grouping, so nothing is joined back and no region is copied before it matches.
+    grouping, so nothing is joined back.  Without ``joinby`` no region is copied
+    before it matches; with it, left regions carry their partner samples into the
+    join's key, so that those of other samples never meet.
     """
     aggs = aggs or []
     left_name, right_name = left_name or left.name or "left", right_name or right.name or "right"
@@ -32,12 +34,10 @@ def map_overlaps(left: Dataset, right: Dataset, aggs: list[A.Agg] | None = None,
     mine = [c(x) for x in left.regions.columns]
     other = right.regions.select(*[c(x) for x in FIXED], *[c(f) for f in fields])
 
-    met = ranges.overlap_join(left.regions, other, bin_size).select(
-        *[c(x, "l").alias(x) for x in left.regions.columns], c("sample_id", "r").alias("__exp"), F.lit(True).alias("__hit"), *[c(f, "r").alias(f"__v:{f}") for f in fields]
-    )
-    if joinby:  # without a condition every pair of samples counts
-        met = met.join(found.select(c("ref_id").alias("sample_id"), c("exp_id").alias("__exp")), ["sample_id", "__exp"], "left_semi")
-    base = left.regions.join(found.select(c("ref_id").alias("sample_id"), c("exp_id").alias("__exp")), "sample_id").select(*mine, "__exp", F.lit(False).alias("__hit"), *[F.lit(None).cast(right.regions.schema[f].dataType).alias(f"__v:{f}") for f in fields])
+    paired, apart = partnered(left.regions, other, found)
+    met = ranges.overlap_join(paired, apart, bin_size, ("__exp",)) if joinby else ranges.overlap_join(left.regions, other, bin_size)
+    met = met.select(*[c(x, "l").alias(x) for x in left.regions.columns], c("sample_id", "r").alias("__exp"), F.lit(True).alias("__hit"), *[c(f, "r").alias(f"__v:{f}") for f in fields])
+    base = paired.select(*mine, "__exp", F.lit(False).alias("__hit"), *[F.lit(None).cast(right.regions.schema[f].dataType).alias(f"__v:{f}") for f in fields])
     rows = base.unionByName(met)
     value = lambda a: c(f"__v:{right.field(a.field)}") if a.field else None
     hit = c("__hit")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from regionframe.model import FIXED, Dataset, c
 from regionframe.plans import ranges
-from regionframe.plans.metajoin import groups, pairs
+from regionframe.plans.metajoin import groups, pairs, partnered
 
 
 def union(left: Dataset, right: Dataset, left_name: str | None = None, right_name: str | None = None) -> Dataset:
@@ -45,19 +45,24 @@ def difference(left: Dataset, right: Dataset, joinby=None, exact: bool = False,
     Equal left regions become one.  Left samples without a partner have no regions left.
     """
     found = pairs(left, right, joinby).select("ref_id", "exp_id")
-    partnered = found.select(c("ref_id").alias("sample_id")).distinct()
+    having = found.select(c("ref_id").alias("sample_id")).distinct()
     other = right.regions.select(*[c(x) for x in FIXED])
-    mine = left.regions.join(partnered, "sample_id", "left_semi")
+    mine = left.regions.join(having, "sample_id", "left_semi")
     columns = [c(x) for x in left.regions.columns]
+    # without a condition every right sample that has metadata is a partner
+    x, y = partnered(left.regions, other, found) if joinby else (mine, other.join(found.select(c("exp_id").alias("sample_id")).distinct(), "sample_id", "left_semi"))
+    keys = ("__exp",) if joinby else ()
     if exact:
-        met = mine.alias("l").join(other.alias("r"), (c("chrom", "l") == c("chrom", "r")) & (c("left", "l") == c("left", "r")) & (c("right", "l") == c("right", "r")) & ranges.compatible("l", "r"))
+        on = (c("chrom", "l") == c("chrom", "r")) & (c("left", "l") == c("left", "r")) & (c("right", "l") == c("right", "r")) & ranges.compatible("l", "r")
+        for k in keys:
+            on &= c(k, "l") == c(k, "r")
+        met = x.alias("l").join(y.alias("r"), on)
     else:
-        met = ranges.overlap_join(mine, other, bin_size)
-    met = met.select(*[c(x, "l").alias(x) for x in left.regions.columns], c("sample_id", "r").alias("__exp"))
-    met = met.join(found.select(c("ref_id").alias("sample_id"), c("exp_id").alias("__exp")), ["sample_id", "__exp"], "left_semi")
+        met = ranges.overlap_join(x, y, bin_size, keys)
+    met = met.select(*[c(x, "l").alias(x) for x in left.regions.columns])
     # one grouping both drops what was met and makes equal regions one
     marked = mine.select(*columns, F.lit(0).alias("__met")).unionByName(met.select(*columns, F.lit(1).alias("__met")))
     kept = marked.groupBy(*columns).agg(F.max("__met").alias("__met")).filter("__met = 0").drop("__met")
     new = F.xxhash64(c("sample_id"))
-    meta = left.meta.join(partnered, "sample_id", "left_semi") if joinby else left.meta
+    meta = left.meta.join(having, "sample_id", "left_semi") if joinby else left.meta
     return left.with_regions(kept.withColumn("sample_id", new).select(*columns)).with_meta(meta.withColumn("sample_id", new).select("sample_id", "attribute", "value"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regionframe.functions.predicates import names
-from regionframe.model import Dataset
+from regionframe.model import Dataset, c
 
 
 def condition(a) -> tuple[str, str]:
@@ -44,13 +44,27 @@ def _shared(left: DataFrame, right: DataFrame, by) -> DataFrame:
     return met.filter(F.col("n") == len(by)).select("ref_id", "exp_id")
 
 
+def pair_id(ref, exp):
+    """The id of the sample that a pair becomes."""
+    return F.xxhash64(ref, exp)
+
+
 def pairs(left: Dataset, right: Dataset, joinby=None) -> DataFrame:
     """ref_id, exp_id, out_id: the pairs of samples to combine; without a condition all pairs of samples."""
     if joinby:
         found = _shared(left.meta, right.meta, joinby)
     else:
         found = left.meta.select(F.col("sample_id").alias("ref_id")).distinct().crossJoin(right.meta.select(F.col("sample_id").alias("exp_id")).distinct())
-    return found.withColumn("out_id", F.xxhash64("ref_id", "exp_id"))
+    return found.withColumn("out_id", pair_id(F.col("ref_id"), F.col("exp_id")))
+
+
+def partnered(left: DataFrame, right: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Left regions once for each partner sample, and right regions, both with that sample as __exp.
+
+    A range join with __exp in its key meets the regions of paired samples only.
+    """
+    on = found.select(F.col("ref_id").alias("sample_id"), F.col("exp_id").alias("__exp"))
+    return left.join(on, "sample_id").select(*[c(x) for x in left.columns], "__exp"), right.withColumn("__exp", F.col("sample_id"))
 
 
 def groups(meta: DataFrame, groupby) -> DataFrame:

@@ -52,14 +52,16 @@ def distance() -> Column:
     return F.when(apart, gap).otherwise(-gap)
 
 
-def near_join(left: DataFrame, right: DataFrame, radius: int, size: int = BIN, on_attributes=()) -> DataFrame:
-    """All strand-compatible pairs at a distance of at most ``radius``, with __dist; frames ``l`` and ``r``.
+def near_join(left: DataFrame, right: DataFrame, radius: int, size: int = BIN, on_attributes=(), keys: tuple[str, ...] = ()) -> DataFrame:
+    """All strand-compatible pairs at a distance of at most ``radius``, with __dist; frames ``l`` and ``r``; ``keys`` must agree.
 
     Bins are at least as wide as the radius, so the widened left side touches few of them.
     """
     size = max(size, radius, 1)
     x, y = binned(left, size, max(radius, 0) + 1).alias("l"), binned(right, size).alias("r")
     on = (c("chrom", "l") == c("chrom", "r")) & (c("__bin", "l") == c("__bin", "r"))
+    for k in keys:
+        on &= c(k, "l") == c(k, "r")
     on &= c("__bin", "l") == F.greatest(c("__first", "l"), c("__first", "r"))
     on &= compatible("l", "r")
     for a in on_attributes:
@@ -67,10 +69,12 @@ def near_join(left: DataFrame, right: DataFrame, radius: int, size: int = BIN, o
     return x.join(y, on & (distance() <= radius)).withColumn("__dist", distance())
 
 
-def equal_join(left: DataFrame, right: DataFrame, on_attributes) -> DataFrame:
-    """Pairs on one chromosome with equal attributes, whatever their distance."""
+def equal_join(left: DataFrame, right: DataFrame, on_attributes, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs on one chromosome with equal attributes, whatever their distance; ``keys`` must agree."""
     x, y = left.alias("l"), right.alias("r")
     on = (c("chrom", "l") == c("chrom", "r")) & compatible("l", "r")
+    for k in keys:
+        on &= c(k, "l") == c(k, "r")
     for a in on_attributes:
         on &= c(a, "l").eqNullSafe(c(a, "r"))
     return x.join(y, on).withColumn("__dist", distance())

@@ -7,7 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from regionframe.model import Dataset
 
 
+#: Metadata of each folder, held in Spark's storage: every branch of a query reads it, and it is small.
+_HELD: dict[tuple[str, str], DataFrame] = {}
+
+
 def _meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _HELD:
+        _HELD[key] = _built(spark, sf_dir).coalesce(1).persist()
+    return _HELD[key]
+
+
+def _built(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("supplier", "nation"))
     ids = spark.range(10).withColumnRenamed("id", "sample_id")
     plain = ids.selectExpr(
