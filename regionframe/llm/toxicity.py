@@ -31,6 +31,7 @@ Repeated rows get equal scores; a null id is scored and never learned from.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import math
 import re
@@ -246,18 +247,22 @@ class Scorer:
 _RUN = re.compile(r"(?:(?<!\S)[^\W\d_]\W{0,2}\s+){2}[^\W\d_]\W{0,2}(?!\S)")
 
 
-def _machine(x: np.ndarray, y: np.ndarray, cost: float = 1.0) -> tuple[np.ndarray, float]:
-    """Linear squared-hinge machine, by Newton steps; classes weigh the same."""
-    z = np.c_[x, np.ones(len(x))]
-    c = cost * np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y)
-    w = np.zeros(z.shape[1])
+def _machine(x: np.ndarray, y: np.ndarray, times: np.ndarray, cost: float = 1.0) -> tuple[np.ndarray, float]:
+    """Linear squared-hinge machine, by Newton steps; a row counts ``times``, and classes weigh the same."""
+    c = cost * times * np.where(y > 0, 0.5 / max(1, times[y > 0].sum()), 0.5 / max(1, times[y < 0].sum())) * times.sum()
+    w = np.zeros(x.shape[1] + 1)
     reg = np.r_[np.ones(x.shape[1]), 1e-3]
     for _ in range(40):
-        slack = 1 - y * (z @ w)
-        on = slack > 0
-        zo = z[on] * c[on, None]
-        grad = reg * w - (y[on] * slack[on]) @ zo
-        step = np.linalg.solve(np.diag(reg) + z[on].T @ zo, grad)
+        grad, curve = reg * w, np.diag(reg)
+        for k in range(0, len(x), 4096):  # rows within the margin, a few at a time
+            z = np.c_[x[k : k + 4096], np.ones(len(x[k : k + 4096]))].astype(float)
+            slack = 1 - y[k : k + 4096] * (z @ w)
+            on = slack > 0
+            z, slack, side = z[on], slack[on], y[k : k + 4096][on]
+            scaled = z * c[k : k + 4096][on, None]
+            grad -= (side * slack) @ scaled
+            curve += z.T @ scaled
+        step = np.linalg.solve(curve, grad)
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
@@ -284,7 +289,6 @@ def stretched(word: str) -> list[str]:
 
 def train(rows: list[tuple[str | None, int]], landmarks: int = 96, rounds: int = 4, counts: tuple[int, int] | None = None) -> ToxicityModel:
     """Learn from (text, 0 or 1) pairs, on the driver; they stand for ``counts`` texts of label 0 and 1 (as many as there are)."""
-    texts = [(t or '').split() for t, _ in rows]
     y = np.array([1 if v else 0 for _, v in rows])
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     c0, c1 = counts or (n0, n1)
@@ -292,9 +296,15 @@ def train(rows: list[tuple[str | None, int]], landmarks: int = 96, rounds: int =
         share = c1 / (c0 + c1) if c0 + c1 else 0.0
         return ToxicityModel([], np.zeros((0, 0)), np.zeros(0), 0.0, np.array([0, 0, 0, 0, math.log(max(share, 1e-9) / max(1 - share, 1e-9))]))
     of = Memo(units)
-    words = [[u for t in doc for u in of[t]] + spelled(doc) for doc in texts]
+    words, sizes, marked = [], [], []  # of each text its different words, its length, and a mark that copies share
+    for t, _ in rows:
+        tokens = (t or "").split()
+        doc = [u for x in tokens for u in of[x]] + spelled(tokens)
+        words.append(frozenset(doc))
+        sizes.append(len(tokens))
+        marked.append(hashlib.blake2b(" ".join(doc).encode("utf-8", "surrogatepass"), digest_size=16).digest())
     seen = [Counter(), Counter()]
-    for doc, label in {str(d): (d, v) for d, v in zip(words, y, strict=True)}.values():  # copies count once
+    for doc, label in {m: (d, v) for m, d, v in zip(marked, words, y, strict=True)}.values():  # copies count once
         seen[label].update({u for u in doc if len(u) >= 3})
     odds = {u: math.log((c + 0.5) / (n1 + 1)) - math.log((seen[0][u] + 0.5) / (n0 + 1)) for u, c in seen[1].items()}
     odds |= {u: math.log(0.5 / (n1 + 1)) - math.log((c + 0.5) / (n0 + 1)) for u, c in seen[0].items() if u not in odds}
@@ -311,17 +321,21 @@ def train(rows: list[tuple[str | None, int]], landmarks: int = 96, rounds: int =
     vocabulary = sorted({u for doc in words for u in doc})
     row = {u: k for k, u in enumerate(vocabulary)}
     typical = np.array([max(0.0, value(u)) for u in picked])
-    strong, first, feats = [np.zeros(0, bool)], [np.zeros(0)], [np.zeros((0, len(picked)), np.float32)]
-    for k in range(0, len(vocabulary), 20_000):  # the kernel itself is never held whole
-        part = marks.kernel(vocabulary[k : k + 20_000])
+    strong, first = [np.zeros(0, bool)], [np.zeros(0)]
+    for k in range(0, len(vocabulary), 5_000):  # neither the kernel nor the features of all words are held at once
+        part = marks.kernel(vocabulary[k : k + 5_000])
         strong.append(part.any(1))
         first.append((part * part * typical).max(1))
-        feats.append(part @ whiten.astype(np.float32))
     strong = np.concatenate(strong)
+    spelling = [*vocabulary, ""]  # the last one is any unlike word
+
+    def feats(spelt: list[str]) -> np.ndarray:
+        return marks.kernel(spelt) @ whiten.astype(np.float32)
+
     x = [np.array([*sorted({row[u] for u in doc if strong[row[u]]}), len(vocabulary)], np.int32) for doc in words]
-    # the first witness is the word nearest to one typical of the label; the last row is any unlike word
+    del words, of
+    # the first witness is the word nearest to one typical of the label
     margin = np.r_[np.concatenate(first), 0.0]
-    feats = np.concatenate([*feats, np.zeros((1, len(picked)), np.float32)])
     clean_of = [d for d, v in zip(x, y, strict=True) if not v]
     toxic_of = [d for d, v in zip(x, y, strict=True) if v]
     known = np.array([u in odds and value(u) > STANDS_OUT for u in vocabulary] + [False])
@@ -330,16 +344,17 @@ def train(rows: list[tuple[str | None, int]], landmarks: int = 96, rounds: int =
     for _ in range(rounds):
         on = (margin > usual) | known
         toxic = held[on[held]] if on[held].any() else held
-        bent = [v for i in sorted(set(toxic.tolist())) if i < len(vocabulary) and (toxic == i).sum() > 2 for v in stretched(vocabulary[i])]
+        some, times = np.unique(toxic, return_counts=True)
+        bent = [v for i, n in zip(some.tolist(), times.tolist(), strict=True) if i < len(vocabulary) and n > 2 for v in stretched(vocabulary[i])]
         clean = np.unique(np.concatenate([d[np.argsort(-margin[d], kind="stable")[:5]] for d in clean_of]))
-        pos = np.r_[feats[toxic], marks.kernel(bent) @ whiten] if bent else feats[toxic]
-        weight, bias = _machine(np.r_[pos, feats[clean]], np.r_[np.ones(len(pos)), -np.ones(len(clean))])
-        margin = feats @ weight + bias
+        spelt = [spelling[i] for i in some] + bent + [spelling[i] for i in clean]
+        label = np.r_[np.ones(len(some) + len(bent)), -np.ones(len(clean))]
+        weight, bias = _machine(feats(spelt), label, np.r_[times, np.ones(len(bent) + len(clean))])
+        margin = np.r_[marks.linear(vocabulary, whiten @ weight), 0.0] + bias
         usual = np.quantile([margin[d].max() for d in clean_of], 0.99)
-    seen_by = [evidence(margin[d], bias, len(doc)) for d, doc in zip(x, texts, strict=True)]
+    seen_by = [evidence(margin[d], bias, n) for d, n in zip(x, sizes, strict=True)]
     # toxic texts once more, with a letter put into their worst word and nothing else against them
-    spelling = [*vocabulary, ""]
-    top = [(spelling[d[margin[d].argmax()]], len(doc)) for d, doc, v in zip(x, texts, y, strict=True) if v and margin[d].max() > 0]
+    top = [(spelling[d[margin[d].argmax()]], n) for d, n, v in zip(x, sizes, y, strict=True) if v and margin[d].max() > 0]
     top = [(word, n) for word, n in top if len(word) > 2]
     bent = [stretched(word)[len(word) // 2 - 1] for word, _ in top]
     low = marks.linear(bent, whiten @ weight) + bias
