@@ -105,9 +105,10 @@ def _added(last: bool):
         for b in batches:
             for block, counts in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 raw = counts.as_buffer()
-                n = raw.size // 10
+                kind = np.dtype(np.int64 if raw.size % 2 else np.uint32)
+                n = raw.size // (2 + kind.itemsize)
                 sums = total.setdefault(block, np.zeros(BLOCK, np.int64))
-                sums[np.frombuffer(raw, np.uint16, n)] += np.frombuffer(raw, np.int64, n, 2 * n)
+                sums[np.frombuffer(raw, np.uint16, n)] += np.frombuffer(raw, kind, n, 2 * n).astype(np.int64)
         for block, sums in total.items():
             out = np.minimum(255, np.round(5 * np.log2(1 + sums))).astype(np.uint8).tobytes() if last else _sparse(sums)
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([out], pa.binary())], names=["block", "counts"])
@@ -116,14 +117,16 @@ def _added(last: bool):
 
 
 def _sparse(counts: np.ndarray) -> bytes:
+    """Places and counts, of four bytes each, or of eight where one needs it: the length is odd then."""
     at = np.flatnonzero(counts)
-    return at.astype(np.uint16).tobytes() + counts[at].astype(np.int64).tobytes()
+    large = len(at) and int(counts[at].max()) >> 32
+    return at.astype(np.uint16).tobytes() + counts[at].astype(np.int64 if large else np.uint32).tobytes() + (b"\0" if large else b"")
 
 
 def _levels(seen: DataFrame) -> bytes:
-    """The histogram's logarithms.  Counts of many partitions are added in two steps, so that no task reads those of all."""
+    """The histogram's logarithms.  Counts of more than 256 partitions are added in two steps, so that no task reads those of all."""
     blocks = (1 << SKETCH_BITS) // BLOCK
-    counts = seen.filter("block IS NOT NULL").select("block", "counts", F.pmod(F.xxhash64("counts"), F.lit(64)).alias("part"))
+    counts = seen.filter("block IS NOT NULL").select("block", "counts", F.expr("spark_partition_id() DIV 256").alias("part"))
     some = counts.repartition("block", "part").select("block", "counts").mapInArrow(_added(False), "block int, counts binary")
     sketch = bytearray(1 << SKETCH_BITS)
     for r in some.repartition(blocks, "block").mapInArrow(_added(True), "block int, counts binary").collect():
@@ -156,7 +159,7 @@ def _prefixes(width: int, num: int, den: int, sketch):
 def _sets(width: int):
     def run(batches):
         hashes = word_hashes()
-        yield from batched(((doc, shingle_set(text, width, hashes).view(np.int64).tolist()) for doc, text in _rows(batches)), _SETS_A, 500)
+        yield from batched(((doc, shingle_set(text, width, hashes).view(np.int64).tolist()) for doc, text in _rows(batches)), _SETS_A, 128)
 
     return run
 

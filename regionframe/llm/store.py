@@ -42,19 +42,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows that Spark hands to a Python worker at once, where whole texts go there.
-BATCH_ROWS = 1000
+#: Rows, and bytes, that Spark hands to a Python worker at once, where whole texts go there.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def modest_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to BATCH_ROWS rows if they are larger.
+    """Lower the session's Arrow batches to BATCH_ROWS rows and BATCH_BYTES if they are larger.
 
     A batch of texts stands in the memory of the JVM and of the worker at once;
-    with Spark's default of 10,000 rows some long texts would fill both.
+    with Spark's default of 10,000 rows and 64 MB some long texts would fill both.
+    Spark reads the setting when a plan runs, so it stays with the session.
     """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number = re.match(r"\d+", spark.conf.get(name))
+    if not number or not 0 < int(number[0]) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def release(spark: SparkSession) -> None:

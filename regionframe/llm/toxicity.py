@@ -379,7 +379,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     if not picked:
         return train([], counts=counts)
     ids = labelled.sparkSession.createDataFrame(picked, "doc_id long, label int")
-    found = src.join(F.broadcast(ids), ["doc_id", "label"], "left_semi").select("doc_id", "label", "text").toLocalIterator()
+    # by the id alone first: this reaches the texts before they are shuffled to their labels
+    found = src.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").join(F.broadcast(ids), ["doc_id", "label"], "left_semi").select("doc_id", "label", "text").toLocalIterator()
     rows = sorted({(r["doc_id"], r["label"], r["text"]) for r in found})
     return train([(text, label) for _, label, text in rows], counts=counts)
 
