@@ -167,7 +167,7 @@ def _sets(width: int):
 def _verified(pairs: DataFrame, src: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that link, on whole sets, made anew for the documents concerned."""
     pairs = written(pairs, "pairs")
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids", 2 * pairs.count())
     texts = src.join(small_or_shuffled(ids, ids.count(), 16), "doc_id", "left_semi")
     sets = written(texts.mapInArrow(_sets(width), _SETS).dropDuplicates(["doc_id"]), "sets")
     x = sets.select(F.col("doc_id").alias("a"), F.col("toks").alias("tx"))
@@ -187,7 +187,8 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     differ = F.min(F.struct("d1", "d2")) != F.max(F.struct("d1", "d2"))
     if rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(differ.alias("several")).filter("several").limit(1).count():
         return _of_several(src, num, den, width)
-    classes = written(rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows")), "classes")
+    total = rows.count()
+    classes = written(rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows")), "classes", total)
     held = spark.sparkContext.broadcast(_levels(seen))
 
     found = src.mapInArrow(_prefixes(width, num, den, held), _PREFIX)
@@ -199,16 +200,16 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     items = posted.join(shared, "tok").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("i", "tok", "df"))).alias("items"))
     posts = written(_chosen(items, num, den).join(prefix.select("doc_id", "n", "b0", "b1", "b2", "b3"), ["doc_id", "n"]), "posts")
 
-    stars = components(_verified(_pivot_pairs(posts, num, den), src, width, num, den))
+    links = _verified(_pivot_pairs(posts, num, den), src, width, num, den)
+    stars = components(links, links.count())
     posts = written(posts.join(stars.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")), "posts")
     across = _verified(_across(posts, num, den), src, width, num, den)
     links = across.join(stars.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(stars.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    merged = components(links)
+    merged = components(links, across.count())
     found = stars.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "full")
     final = found.select(F.explode(F.array_distinct(F.array(F.coalesce("node", "comp"), F.col("comp")))).alias("rep"), F.coalesce("top", "comp").alias("comp")).distinct()
-    named = written(classes.join(final, "rep", "left").select("d1", "d2", "rows", F.coalesce("comp", "rep").alias("component_id")), "named")
+    named = written(classes.join(final, "rep", "left").select("d1", "d2", "rows", F.coalesce("comp", "rep").alias("component_id")), "named", total)
     # rows of the few largest classes, of which there are less than LARGE, find theirs without a shuffle; so no class meets in one task
-    total = rows.count()
     large = named.filter(F.col("rows") * LARGE > total).select("d1", "d2", F.struct("component_id").alias("hit"))
     near = rows.filter("n > 0").join(F.broadcast(large), ["d1", "d2"], "left")
     alike = near.filter("hit IS NOT NULL").select("doc_id", "n", "hit.component_id")

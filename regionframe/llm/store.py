@@ -34,10 +34,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back."""
+#: Rows of some numbers that make up a file, where a table's size is known.
+FILE_ROWS = 50_000
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back.
+
+    ``rows`` is a known bound of its rows, for tables of a few numbers a row: they go
+    to files of about FILE_ROWS rows, and not to one for each shuffle partition, but
+    to as many as the cluster has cores at least.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, rows // FILE_ROWS))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
