@@ -42,9 +42,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that repeat an id are one document, of which each text stays once; rows without an id cannot be linked and stay.
     """
     docs = docs.select(*COLUMNS)
-    groups = written(ngram_join.similarity_components(docs, num=80, den=100, width=5), "groups")
+    total = docs.count()
+    groups = written(ngram_join.similarity_components(docs, num=80, den=100, width=5), "groups", total)
     first = groups.filter(F.col("doc_id") == F.col("component_id"))
-    ids = written(first.select("doc_id").distinct(), "first")
+    ids = written(first.select("doc_id").distinct(), "first", total)
     n = ids.count()
     kept = docs.join(small_or_shuffled(ids, n, 16), "doc_id", "left_semi").select(*COLUMNS)
     if first.count() > n:
