@@ -206,8 +206,10 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     across = _verified(_across(posts, num, den), src, width, num, den)
     links = across.join(stars.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(stars.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     merged = components(links, across.count())
-    found = stars.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "full")
-    final = found.select(F.explode(F.array_distinct(F.array(F.coalesce("node", "comp"), F.col("comp")))).alias("rep"), F.coalesce("top", "comp").alias("comp")).distinct()
+    # no full join: Spark splits the left side of this one where a component is large; a component's own id is one of its nodes
+    tops = merged.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    starred = stars.join(tops, "comp", "left").select(F.col("node").alias("rep"), F.coalesce("top", "comp").alias("comp"))
+    final = starred.union(merged.select(F.col("node").alias("rep"), "comp")).distinct()
     named = written(classes.join(final, "rep", "left").select("d1", "d2", "rows", F.coalesce("comp", "rep").alias("component_id")), "named", total)
     # rows of the few largest classes, of which there are less than LARGE, find theirs without a shuffle; so no class meets in one task
     large = named.filter(F.col("rows") * LARGE > total).select("d1", "d2", F.struct("component_id").alias("hit"))
