@@ -7,20 +7,22 @@ next power of four, walked until it falls below n, gives each its slot in
 training order.  Sequences are dealt to partitions by range of slots, one shard
 each, without sampling (the ranges are known), sorted, and written by Spark's own
 committed text writer, so a lost executor leaves no half-written shard and any
-file system will do.  A shard of PER_SHARD records takes 69 MB; one task holds one
-shard when it is read, which is why it is not larger.  A record is
+file system will do.  A shard of PER_SHARD records takes 70 MB.  A record is
 
-    doc_id int64 | number in the text int32 | tokens used int32 | ids | 0x0A
+    slot int64 | doc_id int64 | number in the text int32 | tokens used int32 | ids | 0x0A
 
 little-endian, always ``stride`` bytes: slot s lies in shard s // per_shard at
-byte (s % per_shard) * stride, so reading resumes at any slot.
+byte (s % per_shard) * stride, so reading resumes at any slot.  Spark's reader of
+fixed-length records splits shards between records and streams them, so that no
+task holds a shard; a shard that ends within a record is an error.
 
 Both passes read the same partitions: the input has to be a scan of files
 (``stable=True``) or is written to the shared folder first.  The second pass
 compares its counts with the first one's and fails rather than misnumber.
 
 Cases: null and empty texts have no sequence; a null id is written as -2**63;
-repeated rows get sequences of their own.  An empty input writes no shard.
+repeated rows get sequences of their own.  An empty input writes no shard, and
+none is read from it.
 """
 
 from __future__ import annotations
@@ -35,10 +37,10 @@ from pyspark.sql import functions as F
 
 from regionframe.llm import tokens
 from regionframe.llm.arrow import slices
-from regionframe.llm.store import new_path, written
+from regionframe.llm.store import modest_batches, new_path, written
 
 NULL_ID = -(1 << 63)
-_HEAD = np.dtype([("doc_id", "<i8"), ("seq", "<i4"), ("used", "<i4")])
+_HEAD = np.dtype([("slot", "<i8"), ("doc_id", "<i8"), ("seq", "<i4"), ("used", "<i4")])
 ROUNDS = 6
 PER_SHARD = 1 << 17
 
@@ -112,6 +114,7 @@ def materialise(docs: DataFrame, path: str | None = None, key: str = "order", le
             if at + len(body) > end:
                 raise RuntimeError("the input changed between the two passes")
             slot = permuted(np.arange(at, at + len(body)), total, key)
+            body[:, :8] = slot.astype("<i8").view(np.uint8).reshape(-1, 8)
             at += len(body)
             payload = pa.FixedSizeBinaryArray.from_buffers(pa.binary(size - 1), len(body), [None, pa.py_buffer(np.ascontiguousarray(body[:, :-1]))])
             yield pa.RecordBatch.from_arrays([pa.array(slot), payload.cast(pa.binary())], names=["slot", "payload"])
@@ -125,30 +128,38 @@ def materialise(docs: DataFrame, path: str | None = None, key: str = "order", le
     return path, total
 
 
+def _at_least(number: int) -> str:
+    """A glob of the whole numbers from ``number`` on, of up to 19 digits."""
+    digits = str(number)
+    larger = [f"{digits[:k]}[{int(d) + 1}-9]{'[0-9]' * (len(digits) - k - 1)}" for k, d in enumerate(digits) if d != "9"]
+    longer = [f"[1-9]{'[0-9]' * k}" for k in range(len(digits), 19)]
+    return "{" + ",".join([digits, *larger, *longer]) + "}"
+
+
 def records(spark, path: str, length: int = 256, per_shard: int = PER_SHARD, first_slot: int = 0) -> DataFrame:
-    """slot, doc_id, seq, n_tokens, ids of every record from ``first_slot`` on, read back from the shards."""
+    """slot, doc_id, seq, n_tokens, ids of every record from ``first_slot`` on, read back from the shards; earlier shards are not opened."""
     size = stride(length)
 
     def run(batches):
         import pyarrow.compute as pc
 
         for b in batches:
-            for shard, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                raw = np.frombuffer(content.as_buffer(), np.uint8)
-                if len(raw) % size:
-                    raise ValueError(f"shard {shard} is not whole")
-                for k in range(0, len(raw) // size, 2048):
-                    body = raw[k * size : (k + 2048) * size].reshape(-1, size)
-                    head = np.ascontiguousarray(body[:, : _HEAD.itemsize]).view(_HEAD).ravel()
-                    ids = np.ascontiguousarray(body[:, _HEAD.itemsize : -1]).view("<u2").astype(np.int32)
-                    keep = np.arange(length) < head["used"][:, None]
-                    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(head["used"])].astype(np.int32)), pa.array(ids[keep]))
-                    slot = pa.array(shard * per_shard + k + np.arange(len(body)), pa.int64())
-                    doc = pa.array(head["doc_id"], pa.int64())
-                    doc = pc.if_else(pc.equal(doc, NULL_ID), pa.scalar(None, pa.int64()), doc)
-                    yield pa.RecordBatch.from_arrays([slot, doc, pa.array(head["seq"]), pa.array(head["used"]), lists], names=["slot", "doc_id", "seq", "n_tokens", "ids"])
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(path)
-    shard = F.regexp_extract("path", "shard=([0-9]+)/", 1).cast("long")
-    named = files.select(shard.alias("shard"), "content").filter(F.col("shard") >= first_slot // per_shard)
-    return named.mapInArrow(run, "slot long, doc_id long, seq int, n_tokens int, ids array<int>").filter(F.col("slot") >= first_slot)
+            fixed = b.column(0).cast(pa.binary(size))
+            body = np.frombuffer(fixed.buffers()[1], np.uint8)[fixed.offset * size :][: len(fixed) * size].reshape(-1, size)
+            head = np.ascontiguousarray(body[:, : _HEAD.itemsize]).view(_HEAD).ravel()
+            ids = np.ascontiguousarray(body[:, _HEAD.itemsize : -1]).view("<u2").astype(np.int32)
+            keep = np.arange(length) < head["used"][:, None]
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(head["used"])].astype(np.int32)), pa.array(ids[keep]))
+            doc = pa.array(head["doc_id"], pa.int64())
+            doc = pc.if_else(pc.equal(doc, NULL_ID), pa.scalar(None, pa.int64()), doc)
+            yield pa.RecordBatch.from_arrays([pa.array(head["slot"]), doc, pa.array(head["seq"]), pa.array(head["used"]), lists], names=["slot", "doc_id", "seq", "n_tokens", "ids"])
+
+    modest_batches(spark)
+    schema, jvm = "slot long, doc_id long, seq int, n_tokens int, ids array<int>", spark.sparkContext._jvm
+    shards = f"{path}/shard={_at_least(first_slot // per_shard)}"
+    glob = jvm.org.apache.hadoop.fs.Path(shards)
+    if not glob.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(glob):
+        return spark.createDataFrame([], schema)
+    raw = spark.sparkContext._jsc.binaryRecords(f"{shards}/part-*", size).rdd()
+    frame = DataFrame(spark._jsparkSession.createDataset(raw, jvm.org.apache.spark.sql.Encoders.BINARY()).toDF(), spark)
+    return frame.mapInArrow(run, schema).filter(F.col("slot") >= first_slot)

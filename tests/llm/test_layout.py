@@ -136,13 +136,37 @@ def test_shards_round_trip(spark, tmp_path):
     assert len(sizes) == -(-n // 10) and sorted(sizes)[-1] == 10 * shards.stride(16) and sum(sizes) == n * shards.stride(16)
     rest = shards.records(spark, path, length=16, per_shard=10, first_slot=25).collect()
     assert sorted(x["slot"] for x in rest) == list(range(25, n))
+    for d, _, fs in os.walk(path):
+        for f in fs:
+            if f.startswith("part-"):
+                raw, shard = open(f"{d}/{f}", "rb").read(), int(d.rpartition("=")[2])
+                assert [int.from_bytes(raw[k : k + 8], "little") for k in range(0, len(raw), shards.stride(16))] == list(range(shard * 10, min(n, shard * 10 + 10)))
+    assert shards.records(spark, path, length=16, per_shard=10, first_slot=n).count() == 0
     again, _ = shards.materialise(df, f"{tmp_path}/t", length=16, per_shard=10)
     assert shards.records(spark, again, length=16, per_shard=10).count() == n
 
 
 def test_no_sequences(spark, tmp_path):
     path, n = shards.materialise(spark.createDataFrame([(1, None)], "doc_id long, text string"), f"{tmp_path}/e")
-    assert n == 0
+    assert n == 0 and shards.records(spark, path).count() == 0
+
+
+@pytest.mark.parametrize("first", [0, 7, 9, 10, 99, 130, 899, 1999])
+def test_globs_of_shard_numbers(first):
+    """Every alternative as a regular expression, against comparison."""
+    parts = shards._at_least(first)[1:-1].split(",")
+    assert [k for k in range(3000) if any(re.fullmatch(p, str(k)) for p in parts)] == list(range(first, 3000))
+
+
+def test_broken_shard(spark, tmp_path):
+    path, n = shards.materialise(spark.createDataFrame([(1, "some words")], "doc_id long, text string"), f"{tmp_path}/b")
+    part = next(f"{d}/{f}" for d, _, fs in os.walk(path) for f in fs if f.startswith("part-"))
+    whole = open(part, "rb").read()
+    os.remove(f"{os.path.dirname(part)}/.{os.path.basename(part)}.crc")
+    with open(part, "wb") as f:
+        f.write(whole[:-5])
+    with pytest.raises(Exception):
+        shards.records(spark, path).collect()
 
 
 PII = [
