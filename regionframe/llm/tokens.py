@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import SparkSession
@@ -22,16 +23,22 @@ def ranks(spark: SparkSession, path: str = RANKS_PATH):
         return spark.sparkContext.broadcast(f.read())
 
 
+@lru_cache(maxsize=2)
+def _coder(table: bytes):
+    """The tokenizer of a vocabulary file and its largest id; a worker builds it once for all its tasks."""
+    import tiktoken
+
+    merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, table.splitlines())}
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={}), max(merges.values())
+
+
 class Bpe:
     """Token ids as little-endian bytes, ``width`` bytes each."""
 
     def __init__(self, table: bytes, width: int = 2):
-        import tiktoken
-
-        merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, table.splitlines())}
-        if width == 2 and max(merges.values()) > 65535:
+        self.coder, largest = _coder(table)
+        if width == 2 and largest > 65535:
             raise ValueError("two bytes don't hold this vocabulary's ids")
-        self.coder = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
         self.kind, self.width = np.dtype(f"<u{width}"), width
 
     def encode(self, text: str | None) -> bytes:
