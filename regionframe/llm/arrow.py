@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -37,3 +40,26 @@ def slices(batches, rows: int, size: int = 1 << 20, column: int = 1):
             end = max(at + 1, min(at + rows, fits))
             yield b.slice(at, end - at)
             at = end
+
+
+def tidy(run):
+    """``run`` for mapInArrow, after which its worker gives memory it no longer uses back to the system.
+
+    Workers live on from task to task; without this each keeps the most that any operator took in it.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return wrapped
+
+
+def _give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from regionframe.llm.arrow import slices
+from regionframe.llm.arrow import slices, tidy
 from regionframe.llm.store import modest_batches
 
 #: 2**BITS hashed trigrams for each language.
@@ -94,7 +94,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothi
     """Learn from all ``rows`` with a text and a language."""
     modest_batches(rows.sparkSession)
     src = rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    counted = src.mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counted = src.mapInArrow(tidy(_count), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     langs = tuple(sorted(counted["lang"].unique()))
     n = np.zeros((len(langs), 1 << BITS))
     n[np.searchsorted(langs, counted["lang"].to_numpy(str)) if langs else [], counted["gram"].to_numpy(int)] = counted["n"].to_numpy(float)
@@ -231,7 +231,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)])
     schema = StructType([*_PREDICTED.fields, *[StructField(c, docs.schema[c].dataType) for c in carry]])
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)
 
 
 def fold(id_col: Column, folds: int) -> Column:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regionframe.llm.arrow import batched, slices
+from regionframe.llm.arrow import batched, slices, tidy
 from regionframe.llm.components import components
 from regionframe.llm.store import modest_batches, small_or_shuffled, written
 from regionframe.llm.text import shingle_set, word_hashes
@@ -169,7 +169,7 @@ def _verified(pairs: DataFrame, src: DataFrame, width: int, num: int, den: int)
     pairs = written(pairs, "pairs")
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids", 2 * pairs.count())
     texts = src.join(small_or_shuffled(ids, ids.count(), 16), "doc_id", "left_semi")
-    sets = written(texts.mapInArrow(_sets(width), _SETS).dropDuplicates(["doc_id"]), "sets")
+    sets = written(texts.mapInArrow(tidy(_sets(width)), _SETS).dropDuplicates(["doc_id"]), "sets")
     x = sets.select(F.col("doc_id").alias("a"), F.col("toks").alias("tx"))
     y = sets.select(F.col("doc_id").alias("b"), F.col("toks").alias("ty"))
     both = F.size(F.array_intersect("tx", "ty"))
@@ -182,7 +182,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     modest_batches(spark)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    seen = written(src.mapInArrow(_seen(width), _SEEN), "seen")
+    seen = written(src.mapInArrow(tidy(_seen(width)), _SEEN), "seen")
     rows = seen.filter("block IS NULL").select("doc_id", "n", "d1", "d2")
     differ = F.min(F.struct("d1", "d2")) != F.max(F.struct("d1", "d2"))
     if rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(differ.alias("several")).filter("several").limit(1).count():
@@ -191,7 +191,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     classes = written(rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows")), "classes", total)
     held = spark.sparkContext.broadcast(_levels(seen))
 
-    found = src.mapInArrow(_prefixes(width, num, den, held), _PREFIX)
+    found = src.mapInArrow(tidy(_prefixes(width, num, den, held)), _PREFIX)
     reps = classes.select(F.col("rep").alias("doc_id"), "d1", "d2").filter("doc_id IS NOT NULL")
     prefix = written(found.join(reps, ["doc_id", "d1", "d2"], "left_semi").drop("d1", "d2").dropDuplicates(["doc_id", "n"]), "prefix")
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regionframe.llm import tokens
-from regionframe.llm.arrow import batched, slices
+from regionframe.llm.arrow import batched, slices, tidy
 from regionframe.llm.store import written
 
 CAPACITIES = (512, 1024, 2048, 4096)
@@ -125,7 +125,7 @@ def items(docs: DataFrame, largest: int, ranks_path: str, id_col: str, text_col:
         yield from batched(rows(), _ITEMS)
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, piece int, n_tokens int, deal long")
+    return src.mapInArrow(tidy(run), "doc_id long, piece int, n_tokens int, deal long")
 
 
 def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, group_items: int = 20_000, ranks_path: str = tokens.RANKS_PATH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

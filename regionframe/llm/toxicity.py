@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from regionframe.llm.arrow import slices
+from regionframe.llm.arrow import slices, tidy
 from regionframe.llm.store import modest_batches
 from regionframe.llm.text import ENTRY, Memo
 
@@ -400,4 +400,4 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)])
     schema = StructType([StructField("doc_id", LongType()), StructField("score", DoubleType()), *[StructField(c, docs.schema[c].dataType) for c in carry]])
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)
