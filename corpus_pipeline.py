@@ -11,17 +11,21 @@ from pyspark.sql import functions as F
 
 from regionframe.llm import langid, ngram_join, packing, pii, toxicity
 from regionframe.llm.queries import PII_KEY
-from regionframe.llm.store import small_or_shuffled, written
+from regionframe.llm.store import modest_batches, small_or_shuffled, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document's main language has at least this share of its letters' evidence.
 LEAST_SHARE = 0.5
 #: Documents at or above this score are toxic.
 TOXIC = 0.7
+#: Bytes of text that Spark hands to a Python worker at once.  All stages run in the same executors,
+#: whose threads and buffers keep the room of the largest batch they met.
+BATCH_BYTES = 1 << 20
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter, and those in which no language has LEAST_SHARE."""
+    modest_batches(spark, BATCH_BYTES)
     docs = docs.select(*COLUMNS)
     model = langid.fit(docs.filter(langid.fold(F.col("doc_id"), 5) != 0))
     found = langid.predict(docs, model, carry=COLUMNS[1:])
@@ -30,6 +34,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents scored TOXIC or above; learns from the labelled ones outside the held-out fold."""
+    modest_batches(spark, BATCH_BYTES)
     docs = docs.select(*COLUMNS)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.fit(docs.filter(langid.fold(F.col("doc_id"), 3) != 1).join(labels, "doc_id"))
@@ -41,6 +46,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that repeat an id are one document, of which each text stays once; rows without an id cannot be linked and stay.
     """
+    modest_batches(spark, BATCH_BYTES)
     docs = docs.select(*COLUMNS)
     total = docs.count()
     groups = written(ngram_join.similarity_components(docs, num=80, den=100, width=5), "groups", total)
@@ -61,6 +67,7 @@ def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document goes: doc_id, piece, start, n_tokens, bin, capacity, offset."""
+    modest_batches(spark, BATCH_BYTES)
     return packing.pack(docs)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -42,13 +43,17 @@ def slices(batches, rows: int, size: int = 1 << 20, column: int = 1):
             at = end
 
 
-def tidy(run):
+def tidy(run, tokenizer: bool = False):
     """``run`` for mapInArrow, after which its worker gives memory it no longer uses back to the system.
 
     Workers live on from task to task; without this each keeps the most that any operator took in it.
+    A tokenizer that an earlier task left for the next ones goes first, unless ``tokenizer`` says that this one uses it.
     """
 
     def wrapped(batches):
+        tokens = sys.modules.get("regionframe.llm.tokens")
+        if tokens and not tokenizer:
+            tokens._coder.cache_clear()
         try:
             yield from run(batches)
         finally:

@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,7 @@ from regionframe.llm.store import written
 CAPACITIES = (512, 1024, 2048, 4096)
 OVERHEAD = 8192
 NULL_ID = -(1 << 63)
+_PACKED = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("n_tokens", pa.int32()), ("bin", pa.int64()), ("capacity", pa.int32()), ("offset", pa.int32())])
 _ITEMS = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("n_tokens", pa.int32()), ("deal", pa.int64())])
 
 
@@ -125,7 +127,7 @@ def items(docs: DataFrame, largest: int, ranks_path: str, id_col: str, text_col:
         yield from batched(rows(), _ITEMS)
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(tidy(run), "doc_id long, piece int, n_tokens int, deal long")
+    return src.mapInArrow(tidy(run, tokenizer=True), "doc_id long, piece int, n_tokens int, deal long")
 
 
 def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, group_items: int = 20_000, ranks_path: str = tokens.RANKS_PATH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,23 +136,20 @@ def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, group_items:
     all_items = written(items(docs, largest, ranks_path, id_col, text_col), "items")
     groups = max(1, -(-all_items.count() // group_items))
 
-    def run(pdf):
-        pdf = pdf.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        full = pdf["n_tokens"] > 0
-        bins, offsets, sizes = best(pdf.loc[full, "n_tokens"].tolist(), capacities)
-        group = int(pdf["grp"].iloc[0])
-        out = pdf[["doc_id", "piece", "n_tokens"]].copy()
-        out["bin"] = None
-        out["capacity"] = None
-        out["offset"] = None
-        out.loc[full, "bin"] = [group * (1 << 32) + b for b in bins]
-        out.loc[full, "capacity"] = [sizes[b] for b in bins]
-        out.loc[full, "offset"] = offsets
-        return out.astype({"bin": "Int64", "capacity": "Int32", "offset": "Int32"})
-
-    # pandas would read a column with nulls as floating point
+    def run(table):
+        doc, piece, n = (table[c].to_numpy() for c in ("doc_id", "piece", "n_tokens"))
+        order = np.lexsort((piece, doc, -n))  # stable, the last key first; what takes no room comes last
+        doc, piece, n = doc[order], piece[order], n[order]
+        bins, offsets, sizes = best(n[n > 0].tolist(), capacities)
+        none = [None] * int((n == 0).sum())
+        group = table["grp"][0].as_py()
+        placed = [[group * (1 << 32) + b for b in bins], [sizes[b] for b in bins], offsets]
+        columns = [doc, piece, n, *[c + none for c in placed]]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PACKED, strict=True)], schema=_PACKED)
+
+    # ids without nulls are read as integers
     whole = all_items.withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
     grouped = whole.withColumn("grp", F.pmod("deal", F.lit(groups))).groupBy("grp")
-    return grouped.applyInPandas(run, "doc_id long, piece int, n_tokens int, bin long, capacity int, offset int").select(
+    return grouped.applyInArrow(run, "doc_id long, piece int, n_tokens int, bin long, capacity int, offset int").select(
         F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), "piece", (F.col("piece").cast("long") * largest).alias("start"), "n_tokens", "bin", "capacity", "offset"
     )

@@ -57,8 +57,8 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
-def modest_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to BATCH_ROWS rows and BATCH_BYTES if they are larger.
+def modest_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows and ``size`` bytes if they are larger.
 
     A batch of texts stands in the memory of the JVM and of the worker at once;
     with Spark's default of 10,000 rows and 64 MB some long texts would fill both.
@@ -69,8 +69,8 @@ def modest_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     number = re.match(r"\d+", spark.conf.get(name))
-    if not number or not 0 < int(number[0]) <= BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
+    if not number or not 0 < int(number[0]) <= size:
+        spark.conf.set(name, str(size))
 
 
 def release(spark: SparkSession) -> None:

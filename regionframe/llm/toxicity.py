@@ -378,7 +378,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     counts = all_of.get(0, 0), all_of.get(1, 0)
     if not picked:
         return train([], counts=counts)
-    ids = labelled.sparkSession.createDataFrame(picked, "doc_id long, label int")
+    # as Arrow: a list of tuples would go through Python workers of another kind, which then stand beside those of mapInArrow
+    doc_ids, of = zip(*picked, strict=True)
+    ids = labelled.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "label": pa.array(of, pa.int32())}))
     # by the id alone first: this reaches the texts before they are shuffled to their labels
     found = src.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").join(F.broadcast(ids), ["doc_id", "label"], "left_semi").select("doc_id", "label", "text").toLocalIterator()
     rows = sorted({(r["doc_id"], r["label"], r["text"]) for r in found})

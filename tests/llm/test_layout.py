@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from regionframe.llm import mtree, packing, pii, shards, tokens
+from regionframe.llm.arrow import tidy
 
 SF = "/root/testdata/sf0.001"
 
@@ -395,3 +396,32 @@ def test_near_copies_keep_unlike_texts_of_an_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted((x["doc_id"], x["text"]) for x in p.near_copies(spark, docs, "").collect())
     assert got == [(2, rows[0][1]), (2, rows[1][1])]
+
+
+def test_pipeline_batches_are_small(spark):
+    """Also where an operator was used before that allows larger ones."""
+    import corpus_pipeline as p
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([(1, "ab cd", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    before = spark.conf.get(name)
+    try:
+        for stage in (p.language, p.near_copies, p.packed):
+            spark.conf.set(name, str(4 << 20))
+            stage(spark, docs, "")
+            assert int(spark.conf.get(name)) <= 1 << 20
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_workers_drop_an_unused_tokenizer():
+    with open(tokens.RANKS_PATH, "rb") as f:
+        tokens.Bpe(f.read())
+    assert list(tidy(iter, tokenizer=True)([1])) == [1] and tokens._coder.cache_info().currsize
+    assert list(tidy(iter)([1])) == [1] and not tokens._coder.cache_info().currsize
+
+
+def test_packing_needs_no_pandas(spark):
+    """Its import would stay in every worker."""
+    df = packing.pack(spark.createDataFrame([(1, "ab cd"), (2, None)], "doc_id long, text string"))
+    assert "Pandas" not in df._jdf.queryExecution().executedPlan().toString()

@@ -229,6 +229,14 @@ def test_labelled_texts_are_read_whole(spark):
     assert got[0] > 0.5 > got[1]
 
 
+def test_learning_starts_no_other_python_workers(spark, monkeypatch):
+    """Rows sent through the RDD interface start a second daemon with workers of its own on every executor."""
+    df = spark.createDataFrame([(k, t, y) for k, (_, t, y) in enumerate(texts(60, 3))], "doc_id long, text string, toxic int")
+    want = toxicity.fit(df)
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *a, **b: pytest.fail("a Python RDD"))
+    assert toxicity.fit(df).words == want.words
+
+
 def test_tokens_are_forgotten_within_bounds():
     m = toxicity.train([(t, y) for _, t, y in texts(60, 3)], landmarks=12)
     s = toxicity.Scorer(m)
