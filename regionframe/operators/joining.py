@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from regionframe.model import FIXED, Dataset, c
 from regionframe.plans import ranges
-from regionframe.plans.metajoin import combined_meta, pair_id, pairs, partnered
+from regionframe.plans.metajoin import combined_meta, of_samples, pair_id, pairs, partnered
 
 BUILDERS = ("LEFT", "RIGHT", "LEFT_DISTINCT", "RIGHT_DISTINCT", "INT", "CONTIG", "CAT", "BOTH")
 #: How far nearest neighbours are looked for where no distance bounds them.
@@ -69,24 +68,17 @@ def join_distance(left: Dataset, right: Dataset, condition=(), joinby=None, on_a
     found = pairs(left, right, joinby)
     near = next((k for k, a in enumerate(condition) if a[0] == "MD"), len(condition))
     first, second = condition[:near], condition[near + 1 :]
-    # with joinby only regions of paired samples meet
-    x, y = partnered(left.regions, right.regions, found) if joinby else (left.regions, right.regions)
+    # with joinby only regions of paired samples meet, else those of all samples that have metadata
+    x, y = partnered(left.regions, right.regions, found) if joinby else (of_samples(left.regions, left.meta), of_samples(right.regions, right.meta))
     keys = ("__exp",) if joinby else ()
-    if condition:
-        met = ranges.near_join(x, y, _radius(first, second, max_distance), bin_size, equal, keys)
-    else:
-        met = ranges.equal_join(x, y, equal, keys)
-    for a in first:
-        met = met.filter(_holds(a))
-    if joinby:
-        met = met.withColumn("out_id", pair_id(c("sample_id", "l"), c("sample_id", "r")))
-    else:
-        met = met.join(found, (c("sample_id", "l") == found["ref_id"]) & (c("sample_id", "r") == found["exp_id"]))
+    holds = [_holds(a) for a in first]
     if near < len(condition):
-        region = [F.col("out_id"), *[c(x, "l") for x in left.regions.columns]]
-        # the hash in front lets rows be sorted by one number; the columns behind it decide what is one region
-        w = Window.partitionBy(F.xxhash64(*region), *region).orderBy("__dist")
-        met = met.withColumn("__rank", F.rank().over(w)).filter(F.col("__rank") <= condition[near][1])
+        met = ranges.nearest_join(x, y, _radius(first, second, max_distance), condition[near][1], holds, bin_size, equal, keys)
+    else:
+        met = ranges.near_join(x, y, _radius(first, second, max_distance), bin_size, equal, keys) if condition else ranges.equal_join(x, y, equal, keys)
+        for h in holds:
+            met = met.filter(h)
+    met = met.withColumn("out_id", pair_id(c("sample_id", "l"), c("sample_id", "r")))
     for a in second:
         met = met.filter(_holds(a))
     regions = _built(met, left, right, output, left_name, right_name)

@@ -58,6 +58,11 @@ def pairs(left: Dataset, right: Dataset, joinby=None) -> DataFrame:
     return found.withColumn("out_id", pair_id(F.col("ref_id"), F.col("exp_id")))
 
 
+def of_samples(regions: DataFrame, meta: DataFrame) -> DataFrame:
+    """The regions of samples that have metadata; a number for each sample goes to every executor, so regions are not moved."""
+    return regions.join(F.broadcast(meta.select("sample_id").distinct()), "sample_id", "left_semi")
+
+
 def partnered(left: DataFrame, right: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Left regions once for each partner sample, and right regions, both with that sample as __exp.
 

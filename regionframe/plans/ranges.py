@@ -8,7 +8,7 @@ inequalities as a residual, and split skewed bins at run time.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regionframe.model import FIXED, c
@@ -69,6 +69,66 @@ def near_join(left: DataFrame, right: DataFrame, radius: int, size: int = BIN, o
     return x.join(y, on & (distance() <= radius)).withColumn("__dist", distance())
 
 
+#: Up to this MD, candidates are cut by an aggregate before they are ranked.
+_SLOTTED = 16
+
+
+def nearest_join(left: DataFrame, right: DataFrame, radius: int, nearest: int, holds=(), size: int = BIN, on_attributes=(), keys: tuple[str, ...] = ()) -> DataFrame:
+    """Of the pairs that near_join finds and ``holds`` (Columns over them and __dist) keeps, those of each left region's ``nearest`` right ones of each sample.
+
+    Ties at the last place are kept; equal left regions are ranked as one.  A left
+    region stays whole in the bin of its start, one of bins that are as much larger as
+    it is longer, and right regions go to all bins from which they are in reach.  So
+    all candidates of a region meet in one task and are never shuffled or sorted: they
+    are first aggregated to a bound of the distance, then pairs within it are built.
+    """
+    size = max(size, radius, 1)
+    margin, unit = max(radius, 0) + 1, max(size // 8, 1)
+    steps = F.floor((c("right") - c("left") - 1) / F.lit(unit))
+    x = left.withColumn("__level", F.when(steps > 0, F.length(F.bin(steps))).otherwise(0))
+    # one row: the levels that occur
+    levels = x.agg(F.collect_set("__level").alias("__levels"))
+    y = right.crossJoin(F.broadcast(levels)).withColumn("__level", F.explode("__levels")).drop("__levels")
+    span, reach = F.expr(f"shiftleft({size}L, __level)"), F.expr(f"shiftleft({unit}L, __level)")
+    x = x.withColumn("__home", F.floor(c("left") / span))
+    y = y.withColumn("__home", F.explode(F.sequence(F.floor((c("left") - margin - reach) / span), F.floor((F.greatest(c("left"), c("right") - 1) + margin) / span))))
+    place = ["chrom", "__level", "__home", *keys]
+    mine = [c(n) for n in x.columns]
+    x = x.repartition(*place).groupBy(*mine).agg(F.count(F.lit(1)).alias("__same"))
+    y = y.repartition(*place)
+
+    def met(a: DataFrame, *more: Column) -> DataFrame:
+        on = compatible("l", "r") & (distance() <= radius)
+        for k in place:
+            on &= c(k, "l") == c(k, "r")
+        for k in on_attributes:
+            on &= c(k, "l").eqNullSafe(c(k, "r"))
+        for h in more:
+            on &= h
+        out = a.alias("l").join(y.alias("r"), on).withColumn("__dist", distance())
+        for h in holds:
+            out = out.filter(h)
+        return out
+
+    found = met(x).select(*[c(n, "l").alias(n) for n in x.columns], c("sample_id", "r").alias("__with"), "__dist", F.pmod(F.hash(c("left", "r"), c("right", "r")), F.lit(2 * nearest)).alias("__slot"))
+    if nearest == 1:
+        bound = F.min("__dist")
+    elif nearest <= _SLOTTED:
+        # the k-th smallest of the least distances of disjoint sets is no less than the k-th smallest distance
+        least = F.array_sort(F.array_compact(F.array(*[F.min(F.when(F.col("__slot") == k, F.col("__dist"))) for k in range(2 * nearest)])))
+        bound = F.coalesce(F.get(least, F.ceil(F.lit(nearest) / F.first("__same")).cast("int") - 1), F.max("__dist"))
+    else:
+        bound = F.max("__dist")
+    bounds = found.groupBy(*mine, "__same", "__with").agg(bound.alias("__bound"))
+    out = met(bounds, c("__with", "l") == c("sample_id", "r"), distance() <= c("__bound", "l"))
+    if nearest > 1:
+        region = [*[c(k, "l") for k in place], *[c(n, "l") for n in left.columns], c("__with", "l")]
+        # the hash in front lets rows be sorted by one number; the columns behind it decide what is one region
+        w = Window.partitionBy(F.xxhash64(*region), *region).orderBy("__dist")
+        out = out.withColumn("__rank", F.rank().over(w)).filter((F.col("__rank") - 1) * c("__same", "l") < nearest)
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), c("__same", "l"))))
+
+
 def equal_join(left: DataFrame, right: DataFrame, on_attributes, keys: tuple[str, ...] = ()) -> DataFrame:
     """Pairs on one chromosome with equal attributes, whatever their distance; ``keys`` must agree."""
     x, y = left.alias("l"), right.alias("r")
