@@ -23,7 +23,37 @@ def pair(spark):
     return make(spark, drawn(1), "L"), make(spark, drawn(2), "R")
 
 
+@pytest.mark.parametrize("condition", [[("MD", 1)], [("DLE", 40), ("DG", 3), ("MD", 1), ("UP",)]])
+def test_nearest_sorts_no_pairs(spark, plan, condition):
+    x, y = pair(spark)
+    found = plan(x.join(y, condition, output="RIGHT", max_distance=50).regions)
+    assert "Window" not in found and "out_id" not in found.split("Join", 1)[1]
+
+
 def test_nearest_cuts_before_it_ranks(spark, plan):
     x, y = pair(spark)
     found = plan(x.join(y, [("MD", 2)], output="RIGHT", max_distance=50).regions)
     assert "__bound" in found and "Exchange" not in found.split("Window", 1)[1].split("SortMergeJoin", 1)[0]
+
+
+def long_and_equal(seed):
+    r = random.Random(seed)
+    out = drawn(seed, 40)
+    out += [(*x[:3], x[2] + r.choice((1, 90, 400, 3000)), *x[4:]) for x in out[:12]]
+    return out + out[5:20] + out[5:9]
+
+
+@pytest.mark.parametrize("bins, k, joinby", [(100, 1, None), (100, 2, ["cell"]), (5000, 3, None), (7, 20, None)])
+def test_nearest(spark, bins, k, joinby):
+    left, right = long_and_equal(11), long_and_equal(12)
+    got = make(spark, left, "L").join(make(spark, right, "R"), [("DLE", 60), ("DG", -30), ("MD", k)], joinby, output="BOTH", bin_size=bins).regions.collect()
+    want = []
+    for a in set(left):
+        for exp in (1, 2):
+            if joinby and exp != a[0]:
+                continue
+            met = [b for b in right for _ in range(left.count(a)) if b[0] == exp and near(a, b) and -30 < gap(a, b) <= 60]
+            d = [gap(a, b) for b in met]
+            met = [b for b in met if sum(x < gap(a, b) for x in d) < k]
+            want += [(*a[1:], b[1], float(b[2]), float(b[3]), *b[4:]) for b in met]
+    assert sort(tuple(r)[1:] for r in got) == sort(want)
