@@ -57,3 +57,9 @@ def test_nearest(spark, bins, k, joinby):
             met = [b for b in met if sum(x < gap(a, b) for x in d) < k]
             want += [(*a[1:], b[1], float(b[2]), float(b[3]), *b[4:]) for b in met]
     assert sort(tuple(r)[1:] for r in got) == sort(want)
+
+
+def test_distance_join_moves_no_pairs(spark, plan):
+    x, y = pair(spark)
+    found = plan(x.join(y, [("DL", 40), ("DG", 5)], output="CAT").regions)
+    assert found.count("SortMergeJoin") == 1 and "CartesianProduct" not in found
