@@ -58,6 +58,10 @@ def pairs(left: Dataset, right: Dataset, joinby=None) -> DataFrame:
     return found.withColumn("out_id", pair_id(F.col("ref_id"), F.col("exp_id")))
 
 
+#: Parts that a sample's regions are spread over where they meet its partners.
+SPREAD = 64
+
+
 def of_samples(regions: DataFrame, meta: DataFrame) -> DataFrame:
     """The regions of samples that have metadata; a number for each sample goes to every executor, so regions are not moved."""
     return regions.join(F.broadcast(meta.select("sample_id").distinct()), "sample_id", "left_semi")
@@ -67,9 +71,17 @@ def partnered(left: DataFrame, right: DataFrame, found: DataFrame) -> tuple[Data
     """Left regions once for each partner sample, and right regions, both with that sample as __exp.
 
     A range join with __exp in its key meets the regions of paired samples only.
+    There may be few samples, and as many pairs as their square: so pairs are not
+    broadcast unasked, and a sample's regions don't go to one task.
     """
-    on = found.select(F.col("ref_id").alias("sample_id"), F.col("exp_id").alias("__exp"))
-    return left.join(on, "sample_id").select(*[c(x) for x in left.columns], "__exp"), right.withColumn("__exp", F.col("sample_id"))
+    on = found.select(F.col("ref_id").alias("sample_id"), F.col("exp_id").alias("__exp")).withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    spread = left.withColumn("__part", F.pmod(F.hash("chrom", "left", "right"), F.lit(SPREAD)))
+    return spread.join(on, ["sample_id", "__part"]).select(*[c(x) for x in left.columns], "__exp"), right.withColumn("__exp", F.col("sample_id"))
+
+
+def with_each(left: DataFrame, left_meta: DataFrame, right_meta: DataFrame) -> DataFrame:
+    """Left regions of samples with metadata, once for each right sample with metadata, as __exp."""
+    return of_samples(left, left_meta).crossJoin(F.broadcast(right_meta.select(F.col("sample_id").alias("__exp")).distinct()))
 
 
 def groups(meta: DataFrame, groupby) -> DataFrame:

@@ -63,3 +63,11 @@ def test_distance_join_moves_no_pairs(spark, plan):
     x, y = pair(spark)
     found = plan(x.join(y, [("DL", 40), ("DG", 5)], output="CAT").regions)
     assert found.count("SortMergeJoin") == 1 and "CartesianProduct" not in found
+
+
+@pytest.mark.parametrize("operator", ["map", "difference"])
+def test_partners_are_spread(spark, plan, operator):
+    x, y = pair(spark)
+    found = plan(getattr(x, operator)(y, joinby=["cell"]).regions)
+    assert "SortMergeJoin [sample_id" in found and "hashpartitioning(sample_id#" in found
+    assert all("__part" in row for row in found.splitlines() if "SortMergeJoin [sample_id" in row)
