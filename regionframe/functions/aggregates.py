@@ -103,7 +103,7 @@ def column(agg: Agg, kind: str | None, value: Column | None, hit: Column | None
     if fn == "STD":
         return F.coalesce(F.stddev_samp(value), F.when(F.count(value) > 0, F.lit(float("nan"))))
     if fn in ("MEDIAN", "Q1", "Q2", "Q3"):
-        values = F.array_sort(F.collect_list(value))
+        values = F.sort_array(F.collect_list(value))
         n = F.size(values)
         half = F.floor(n / 2)
         at = lambda i: F.get(values, i.cast("int"))
@@ -114,7 +114,7 @@ def column(agg: Agg, kind: str | None, value: Column | None, hit: Column | None
     text = F.coalesce(as_text_or_null(value, kind), F.lit("."))
     kept = text if hit is None else F.when(hit, text)
     bag = F.collect_list(kept) if fn == "BAG" else F.collect_set(kept)
-    joined = F.array_join(F.array_sort(bag), ",")
+    joined = F.array_join(F.sort_array(bag), ",")
     return F.when(F.size(bag) == 0, F.lit(".")).otherwise(joined)
 
 

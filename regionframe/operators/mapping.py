@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from regionframe.functions import aggregates as A
 from regionframe.model import FIXED, Dataset, c
 from regionframe.plans import ranges
-from regionframe.plans.metajoin import combined_meta, pairs, partnered
+from regionframe.plans.metajoin import combined_meta, pairs, partnered, with_each
 
 
 def map_overlaps(left: Dataset, right: Dataset, aggs: list[A.Agg] | None = None, joinby=None, count_name: str | None = None, left_name: str | None = None, right_name: str | None = None, bin_size: int = ranges.BIN) -> Dataset:
@@ -34,7 +34,7 @@ def map_overlaps(left: Dataset, right: Dataset, aggs: list[A.Agg] | None = None,
     mine = [c(x) for x in left.regions.columns]
     other = right.regions.select(*[c(x) for x in FIXED], *[c(f) for f in fields])
 
-    paired, apart = partnered(left.regions, other, found)
+    paired, apart = partnered(left.regions, other, found) if joinby else (with_each(left.regions, left.meta, right.meta), other)
     met = ranges.overlap_join(paired, apart, bin_size, ("__exp",)) if joinby else ranges.overlap_join(left.regions, other, bin_size)
     met = met.select(*[c(x, "l").alias(x) for x in left.regions.columns], c("sample_id", "r").alias("__exp"), F.lit(True).alias("__hit"), *[c(f, "r").alias(f"__v:{f}") for f in fields])
     base = paired.select(*mine, "__exp", F.lit(False).alias("__hit"), *[F.lit(None).cast(right.regions.schema[f].dataType).alias(f"__v:{f}") for f in fields])

@@ -65,6 +65,11 @@ def test_distance_join_moves_no_pairs(spark, plan):
     assert found.count("SortMergeJoin") == 1 and "CartesianProduct" not in found
 
 
+def test_map_copies_regions_where_they_are(spark, plan):
+    x, y = pair(spark)
+    assert "SortMergeJoin [sample_id" not in plan(x.map(y, [Agg("BAG", "t")]).regions)
+
+
 @pytest.mark.parametrize("operator", ["map", "difference"])
 def test_partners_are_spread(spark, plan, operator):
     x, y = pair(spark)
