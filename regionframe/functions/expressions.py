@@ -134,7 +134,8 @@ def with_metas(ds: Dataset, names: set[str]):
     regions = ds.regions
     for name in sorted(names):
         one = ds.meta.filter(F.col("attribute") == name).groupBy("sample_id").agg(F.min("value").alias(meta_name(name)))
-        regions = regions.join(one, "sample_id", "left")
+        # one value for each sample goes to every executor; a join by sample would put a sample's regions into one task
+        regions = regions.join(F.broadcast(one), "sample_id", "left")
     return regions
 
 

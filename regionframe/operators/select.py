@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from regionframe.functions.expressions import with_metas
 from regionframe.functions.predicates import meta_holds, region_holds, region_metas
 from regionframe.model import Dataset
+from regionframe.plans.metajoin import of_samples
 from regionframe.plans.metajoin import semijoin as shared
 
 
@@ -28,7 +29,7 @@ def select(ds: Dataset, meta=None, region=None, semijoin=None) -> Dataset:
         ids = pairs.select("sample_id").distinct()
         # of a folder of files only those of the chosen samples are opened
         some = ds.opened(ids) if ds.opened else None
-        regions = regions.join(ids, "sample_id", "left_semi") if some is None else some
+        regions = of_samples(regions, ids) if some is None else some
     if region is not None:
         full = with_metas(ds.with_regions(regions), region_metas(region))
         kept = [F.col("`" + x.replace("`", "``") + "`") for x in ds.regions.columns]

@@ -76,3 +76,8 @@ def test_partners_are_spread(spark, plan, operator):
     found = plan(getattr(x, operator)(y, joinby=["cell"]).regions)
     assert "SortMergeJoin [sample_id" in found and "hashpartitioning(sample_id#" in found
     assert all("__part" in row for row in found.splitlines() if "SortMergeJoin [sample_id" in row)
+
+
+def test_metadata_goes_to_regions(spark, plan):
+    x, _ = pair(spark)
+    assert "SortMergeJoin" not in plan(x.select(region=("cmp", ("field", "v"), ">", ("meta", "cell"))).regions)
