@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from regionframe.model import FIXED, Dataset, c
 from regionframe.plans import ranges
-from regionframe.plans.metajoin import groups, pairs, partnered
+from regionframe.plans.metajoin import groups, of_samples, pairs, partnered
 
 
 def union(left: Dataset, right: Dataset, left_name: str | None = None, right_name: str | None = None) -> Dataset:
@@ -31,7 +31,7 @@ def merge(ds: Dataset, groupby=None) -> Dataset:
     """One sample out of all (id 1), or out of each group; samples without the group's attributes go."""
     if groupby:
         of = groups(ds.meta, groupby)
-        regions = ds.regions.join(of, "sample_id").withColumn("sample_id", c("group_id"))
+        regions = ds.regions.join(F.broadcast(of), "sample_id").withColumn("sample_id", c("group_id"))
         meta = ds.meta.join(of, "sample_id").withColumn("sample_id", c("group_id"))
     else:
         regions = ds.regions.withColumn("sample_id", F.lit(1).cast("long"))
@@ -47,10 +47,10 @@ def difference(left: Dataset, right: Dataset, joinby=None, exact: bool = False,
     found = pairs(left, right, joinby).select("ref_id", "exp_id")
     having = found.select(c("ref_id").alias("sample_id")).distinct()
     other = right.regions.select(*[c(x) for x in FIXED])
-    mine = left.regions.join(having, "sample_id", "left_semi")
+    mine = of_samples(left.regions, having)
     columns = [c(x) for x in left.regions.columns]
     # without a condition every right sample that has metadata is a partner
-    x, y = partnered(left.regions, other, found) if joinby else (mine, other.join(found.select(c("exp_id").alias("sample_id")).distinct(), "sample_id", "left_semi"))
+    x, y = partnered(left.regions, other, found) if joinby else (mine, of_samples(other, right.meta))
     keys = ("__exp",) if joinby else ()
     if exact:
         on = (c("chrom", "l") == c("chrom", "r")) & (c("left", "l") == c("left", "r")) & (c("right", "l") == c("right", "r")) & ranges.compatible("l", "r")
