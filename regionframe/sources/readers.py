@@ -102,24 +102,27 @@ def lines(raw: DataFrame, parser: Parser, line: str = "value", strict: bool = Fa
     Lines that don't parse go, as do comments; with ``strict`` the former fail the job.
     """
     kept = [c(x) for x in raw.columns if x != line]
-    f = F.split(c(line), "\t")
-    at = lambda k: F.get(f, F.lit(k))
-    start, stop = F.trim(at(parser.start)).try_cast("long"), F.trim(at(parser.stop)).try_cast("long")
+    # each explode of one value is a bound that filters are not pushed through: a line is made, split and searched once
+    once = lambda df, x, n: df.select("*", F.explode(F.array(x)).alias(n))
+    at = lambda k: F.trim(F.get(F.col("__f"), F.lit(k)))
+    # GTF attributes are  key "value";  and their names match in any case
+    inside = lambda name: F.regexp_extract(F.get(F.col("__f"), F.lit(8)), '(?i)(?:^|;)\\s*' + _literal(name) + '\\s+"?([^";]*)"?', 1)
+    texts = [at(parser.chrom).alias("c"), at(parser.start).alias("l"), at(parser.stop).alias("r"), (F.lit("*") if parser.strand is None else at(parser.strand)).alias("s")]
+    within = [parser.kind == "gtf" and k == 8 for k, _, _ in parser.others]
+    texts += [(inside(name) if w else at(k)).alias(f"a{i}") for i, ((k, name, _), w) in enumerate(zip(parser.others, within, strict=True))]
+    cells = once(once(raw, F.split(c(line), "\t"), "__f"), F.struct(*texts), "__t")
+    text = lambda n: F.col(f"__t.{n}")
+    start, stop = text("l").try_cast("long"), text("r").try_cast("long")
     if parser.kind == "vcf":
         stop = start if parser.one_based else start + 1
     if parser.one_based:
         start = start - 1
-    strand = F.lit("*") if parser.strand is None else F.when(F.trim(at(parser.strand)).isin("+", "-"), F.trim(at(parser.strand))).otherwise("*")
+    strand = F.when(text("s").isin("+", "-"), text("s")).otherwise("*")
     attrs = []
-    for k, name, declared in parser.others:
-        if parser.kind == "gtf" and k == 8:
-            # attributes are  key "value";  and their names match in any case
-            found = F.regexp_extract(at(8), '(?i)(?:^|;)\\s*' + _literal(name) + '\\s+"?([^";]*)"?', 1)
-            x = F.when(F.length(found) > 0, found)
-        else:
-            x = at(k)
+    for i, (_, name, declared) in enumerate(parser.others):
+        x = F.when(F.length(text(f"a{i}")) > 0, text(f"a{i}")) if within[i] else text(f"a{i}")
         attrs.append(_typed(x, declared).alias(name))
-    out = raw.select(*kept, c(line), F.trim(at(parser.chrom)).alias("chrom"), start.alias("left"), stop.alias("right"), strand.alias("strand"), *attrs)
+    out = cells.select(*kept, c(line), text("c").alias("chrom"), start.alias("left"), stop.alias("right"), strand.alias("strand"), *attrs)
     good = c("chrom").isNotNull() & (F.length("chrom") > 0) & c("left").isNotNull() & c("right").isNotNull()
     comment = F.ltrim(c(line)).startswith("#") | (F.length(F.trim(c(line))) == 0)
     if strict:

@@ -81,3 +81,11 @@ def test_partners_are_spread(spark, plan, operator):
 def test_metadata_goes_to_regions(spark, plan):
     x, _ = pair(spark)
     assert "SortMergeJoin" not in plan(x.select(region=("cmp", ("field", "v"), ">", ("meta", "cell"))).regions)
+
+
+@pytest.mark.parametrize("parser", [Parser(others=((3, "v", "DOUBLE"), (4, "w", "DOUBLE"))), parser_of(Schema("x", (("v", "DOUBLE"), ("w", "DOUBLE")), "gtf"))])
+def test_a_line_is_split_once(spark, parser):
+    raw = spark.createDataFrame([(1, "a")], "sample_id long, value string")
+    found = lines(raw, parser)._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count("split(") == 1
+    assert found.count("regexp_extract(") == (2 if parser.kind == "gtf" else 0)
