@@ -53,7 +53,7 @@ def cover(ds: Dataset, low, high, groupby=None, aggs: list[A.Agg] | None = None,
 
     if groupby:
         of = groups(ds.meta, groupby)
-        regions = ds.regions.join(of, "sample_id").withColumn("__group", c("group_id"))
+        regions = ds.regions.join(F.broadcast(of), "sample_id").withColumn("__group", c("group_id"))
         size = of.groupBy(F.col("group_id").alias("__group")).agg(F.count(F.lit(1)).alias("__n"))
         meta = ds.meta.join(of, "sample_id").select(c("group_id").alias("sample_id"), "attribute", "value").distinct()
     else:
@@ -67,7 +67,7 @@ def cover(ds: Dataset, low, high, groupby=None, aggs: list[A.Agg] | None = None,
 
     lo, hi = bound(low, "__n", True), bound(high, "__n", False)
     within = lambda d: f"({d} > 0 AND {d} BETWEEN {lo} AND {hi})"
-    segs = ranges.segments(regions, KEYS, part).join(size, "__group")
+    segs = ranges.segments(regions, KEYS, part).join(F.broadcast(size), "__group")
     if variant in ("cover", "flat"):
         found = ranges.islands(segs, KEYS, within("depth"), within("before"))
     else:

@@ -148,10 +148,10 @@ def segments(regions: DataFrame, keys: tuple[str, ...], size: int) -> DataFrame:
     spread over parts of ``size`` bases: each part's total first, then the
     positions within the part.
     """
-    k = [c(x) for x in keys]
-    starts = regions.select(*k, c("left").alias("pos"), F.lit(1).alias("d"))
-    stops = regions.select(*k, c("right").alias("pos"), F.lit(-1).alias("d"))
-    events = starts.unionByName(stops).groupBy(*keys, "pos").agg(F.sum("d").alias("d")).filter("d != 0").withColumn("__part", _floor(c("pos"), size))
+    # both ends of a region come from one scan
+    ends = F.array(F.struct(c("left").alias("pos"), F.lit(1).alias("d")), F.struct(c("right").alias("pos"), F.lit(-1).alias("d")))
+    rows = regions.select(*[c(x) for x in keys], F.explode(ends).alias("__end")).select(*keys, "__end.pos", "__end.d")
+    events = rows.groupBy(*keys, "pos").agg(F.sum("d").alias("d")).filter("d != 0").withColumn("__part", _floor(c("pos"), size))
     by = ", ".join(f"`{x}`" for x in keys)
     parts = events.groupBy(*keys, "__part").agg(F.sum("d").alias("total"), F.min("pos").alias("first"), F.min_by("d", "pos").alias("first_d"))
     whole = f"OVER (PARTITION BY {by} ORDER BY __part"

@@ -83,6 +83,17 @@ def test_metadata_goes_to_regions(spark, plan):
     assert "SortMergeJoin" not in plan(x.select(region=("cmp", ("field", "v"), ">", ("meta", "cell"))).regions)
 
 
+def test_cover_groups_regions_where_they_are(spark, plan):
+    x, _ = pair(spark)
+    assert "SortMergeJoin [sample_id" not in plan(x.cover(2, "ANY", ["cell"]).regions)
+
+
+def test_segments_scan_regions_once(spark, plan):
+    x, _ = pair(spark)
+    found = plan(segments(x.regions, ("chrom", "strand"), 100))
+    assert "Union" not in found
+
+
 @pytest.mark.parametrize("parser", [Parser(others=((3, "v", "DOUBLE"), (4, "w", "DOUBLE"))), parser_of(Schema("x", (("v", "DOUBLE"), ("w", "DOUBLE")), "gtf"))])
 def test_a_line_is_split_once(spark, parser):
     raw = spark.createDataFrame([(1, "a")], "sample_id long, value string")
