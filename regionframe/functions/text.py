@@ -10,7 +10,8 @@ def number_text(x: Column) -> Column:
     """At most eight decimals, rounded down, without trailing zeros; ``null`` for null."""
     exact = x.cast("string").try_cast("decimal(38,12)")
     cut = F.floor(exact, F.lit(8)).cast("string")
-    short = F.regexp_replace(F.regexp_replace(cut, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    # eight decimals always stand there, so zeros at the end are behind the point
+    short = F.rtrim(F.rtrim(cut, F.lit("0")), F.lit("."))
     return F.coalesce(F.when(F.isnan(x), F.lit("NaN")).otherwise(F.coalesce(short, x.cast("string"))), F.lit("null"))
 
 

@@ -100,3 +100,12 @@ def test_a_line_is_split_once(spark, parser):
     found = lines(raw, parser)._jdf.queryExecution().optimizedPlan().toString()
     assert found.count("split(") == 1
     assert found.count("regexp_extract(") == (2 if parser.kind == "gtf" else 0)
+
+
+def test_numbers_keep_their_text(spark):
+    from regionframe.functions.text import number_text
+    from pyspark.sql import functions as F
+
+    values = [0.0, -0.0, 10.0, 100.5, 1e-8, 1.5e-7, 1e-9, -2.5, 1200000.0, 1e30, float("nan"), None, 0.1234567891]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select(number_text(F.col("v")).alias("t")).collect()
+    assert [r["t"] for r in rows[:4]] == ["0", "0", "10", "100.5"] and rows[7]["t"] == "-2.5" and rows[8]["t"] == "1200000" and rows[12]["t"] == "0.12345678"
